@@ -166,19 +166,20 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def tokenized(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """The rows of ``docs`` with the columns ids (array of int) and n_tokens, which replace such columns."""
-    rest = [c for c in docs.columns if c not in ("ids", "n_tokens")]
-    schema = ", ".join([*(f"`{c}` {t}" for c, t in docs.select(*rest).dtypes), "ids array<int>, n_tokens long"])
+    """The rows of ``docs`` with ids (array of int), n_tokens, and round_trip: whether decoding gives the text again. Columns of these names are replaced. Null texts count as empty."""
+    new = ("ids", "n_tokens", "round_trip")
+    rest = [c for c in docs.columns if c not in new]
+    schema = ", ".join([*(f"`{c}` {t}" for c, t in docs.select(*rest).dtypes), "ids array<int>, n_tokens long, round_trip boolean"])
     at = rest.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1024):
-                b = batch.slice(lo, 1024)
-                ids = [c.encode(t.as_py() or "") for t in b.column(at)]
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids, pa.list_(pa.int32())), pa.array([len(x) for x in ids], pa.int64())], names=[*rest, "ids", "n_tokens"])
+            for lo in range(0, batch.num_rows, 256):
+                b = batch.slice(lo, 256)
+                texts = [t.as_py() or "" for t in b.column(at)]
+                ids = [c.encode(t) for t in texts]
+                same = [c.decode(x) == t for x, t in zip(ids, texts, strict=True)]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids, pa.list_(pa.int32())), pa.array([len(x) for x in ids], pa.int64()), pa.array(same, pa.bool_())], names=[*rest, *new])
 
     return docs.select(*rest).mapInArrow(run, schema)
-
-

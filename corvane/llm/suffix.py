@@ -64,29 +64,29 @@ def radix_groups(ah: np.ndarray, context: np.ndarray, left: np.ndarray, right: n
     return flags
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
+def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, carry: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """Texts dealt by key, and per text the starts of windows of ``length`` bytes that also start elsewhere."""
     spec = Spec(length, gram, words=False, ordered=False)
 
     def repeated(ah, doc, pos, left, right, context):
         return radix_groups(ah, context, left, right, spec.side)
 
-    return repeated_windows(docs, repeated, spec)
+    return repeated_windows(docs, repeated, spec, carry)
 
 
 OUT = "doc long, tag int, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def drop_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_text: bool = False) -> DataFrame:
+def drop_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """Remove each byte that a repeated window covers.
 
     One row per row of ``docs`` (doc_id long, text string; other columns are ignored): doc_id, n_bytes,
     n_removed, n_spans (maximal removed runs), kept_sha256 of the bytes left and, with ``with_text``, kept, a
-    string: characters of which a part was removed go as a whole. A null text is an empty one; empty texts
+    string: characters of which a part was removed go as a whole; the columns in ``carry`` come along. A null text is an empty one; empty texts
     and those under ``length`` bytes keep all they have. Repeated rows remove each other. A null doc_id is kept
     as null. An empty table gives an empty result.
     """
-    dealt, spans = repeated_spans(docs, length, gram)
+    dealt, spans = repeated_spans(docs, length, gram, carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -115,12 +115,17 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_t
             if with_text:
                 made.append(pa.array([k.decode("utf-8", "replace") for k in kept], pa.string()))
                 names.append("kept")
+            if carry:
+                made.append(batch.column(4))
+                names.append("rest")
             yield pa.RecordBatch.from_arrays(made, names=names)
 
-    joined = dealt.join(spans.hint("shuffle_hash"), ["doc", "tag"], "left").select("doc", "tag", "text", "spans")
-    done = joined.mapInArrow(run, OUT + (", kept string" if with_text else ""))
+    rest = ["rest"] if carry else []
+    joined = dealt.join(spans.hint("shuffle_hash"), ["doc", "tag"], "left").select("doc", "tag", "text", "spans", *rest)
+    schema = OUT + (", kept string" if with_text else "") + "".join(f", rest {dict(dealt.dtypes)['rest']}" for _ in rest)
     doc_id = F.when(F.col("doc") != LAST_ID, F.col("doc")).alias("doc_id")
-    return done.select(doc_id, "tag", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if with_text else []))
+    extra = [*(["kept"] if with_text else []), *(F.col("rest")[c].alias(c) for c in carry)]
+    return joined.mapInArrow(run, schema).select(doc_id, "n_bytes", "n_removed", "n_spans", "kept_sha256", *extra)
 
 
 def whole_characters(text: np.ndarray, gone: np.ndarray) -> bytes:

@@ -338,7 +338,8 @@ def contexts(docs: DataFrame, settled: DataFrame, spec: Spec) -> DataFrame:
         .groupBy("doc", "tag")
         .agg(F.collect_list("x").alias("wanted"))
     )
-    return docs.join(by_text.hint("shuffle_hash"), ["doc", "tag"]).select("doc", "tag", "text", "wanted").mapInArrow(run, CONTEXT)
+    # All columns of docs are taken, so that the exchange of the texts is the one that the last step reads.
+    return docs.join(by_text.hint("shuffle_hash"), ["doc", "tag"]).select("doc", "tag", "text", "wanted", *(c for c in docs.columns if c == "rest")).mapInArrow(run, CONTEXT)
 
 
 def fixed_rows(rows: np.ndarray) -> pa.Array:
@@ -363,10 +364,11 @@ def runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return row, first, last - 1
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """(doc, tag, text), nulls replaced."""
+def keyed(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc, tag, text), nulls replaced, and the columns to carry along as a struct, rest."""
     text = text_or_empty()
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc"), F.xxhash64(text).bitwiseAND(0x7FFFFFFF).cast("int").alias("tag"), text.alias("text"))
+    rest = [F.struct(*carry).alias("rest")] if carry else []
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc"), F.xxhash64(text).bitwiseAND(0x7FFFFFFF).cast("int").alias("tag"), text.alias("text"), *rest)
 
 
 def compared(rows: DataFrame, repeated, spec: Spec) -> DataFrame:
@@ -385,9 +387,9 @@ def compared(rows: DataFrame, repeated, spec: Spec) -> DataFrame:
     return rows.repartition("ah").sortWithinPartitions("ah").mapInArrow(run, SPAN)
 
 
-def repeated_windows(docs: DataFrame, repeated, spec: Spec) -> tuple[DataFrame, DataFrame]:
+def repeated_windows(docs: DataFrame, repeated, spec: Spec, carry: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """The keyed texts, dealt by text, and per text with repeated windows: (doc, tag, spans array of (lo, hi)). hi may exceed the last window of the text."""
-    keys = keyed(docs)
+    keys = keyed(docs, carry)
     dealt = keys.repartition("doc", "tag")
     settled = settle(anchors(keys, spec), spec)
     near = compared(contexts(dealt, settled, spec), repeated, spec)
