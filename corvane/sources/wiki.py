@@ -125,5 +125,6 @@ class WikiSource(DataSource):
 
 def read_wiki(spark: SparkSession, **options: str) -> DataFrame:
     """Rows (id, space_key, last_modified, json): options base_url, token, spaces (separated by commas), since, timeout, or recorded (a folder)."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")  # else Spark refuses a reader that takes filters
     spark.dataSource.register(WikiSource)
     return spark.read.format("wiki").options(**options).load()
