@@ -59,15 +59,21 @@ class Block:
     article: int
 
 
-def marked(attributes: str) -> tuple[bool, bool]:
-    """Whether class, id or role mark an element as not main text, and as main."""
-    out = main = False
+#: A class that begins so says what a box has beside it, or lacks; it doesn't mark the box.
+BESIDE = frozenset("has with without no".split())
+
+
+def marked(attributes: str) -> tuple[bool, bool, bool]:
+    """Whether class, id or role mark an element as not main text; whether only as a header; whether as main."""
+    found: set[str] = set()
+    main = False
     for m in ATTRIBUTE.finditer(attributes):
-        value = m[2] or m[3] or m[4] or ""
-        words = {w.lower() for w in re.split(r"[^A-Za-z]+", CAMEL.sub(" ", value)) if w}
-        out |= bool(words & MARKS)
-        main |= m[1].lower() == "role" and "main" in words
-    return out, main
+        for value in (m[2] or m[3] or m[4] or "").split():
+            words = [w.lower() for w in re.split(r"[^A-Za-z]+", CAMEL.sub(" ", value)) if w]
+            if words and words[0] not in BESIDE:
+                found |= MARKS.intersection(words)
+            main |= m[1].lower() == "role" and "main" in words
+    return bool(found), found == {"header"}, main
 
 
 def blocks(html: str) -> list[Block]:
@@ -131,8 +137,10 @@ def blocks(html: str) -> list[Block]:
             if name in ("h1", "h2", "h3", "h4", "h5", "h6"):
                 heading = True
             elif name in BOX:
-                bad, main = marked(m[3]) if m[3] else (False, False)
-                if name in NEVER or (bad and name not in ("body", "html", "article", "main")) or (name == "article" and article and bad):
+                bad, as_header, main = marked(m[3]) if m[3] else (False, False, False)
+                if as_header and article:
+                    in_header = True
+                elif name in NEVER or (bad and name not in ("body", "html", "article", "main")) or (name == "article" and article and bad):
                     zone = EXCLUDED
                 elif name == "header":
                     if article:

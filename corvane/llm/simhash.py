@@ -164,6 +164,18 @@ def links(nodes: DataFrame) -> DataFrame:
     return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "a long, b long")
 
 
+def _components(docs: DataFrame, shingle: int) -> tuple[DataFrame, DataFrame]:
+    """(doc, fp) of each row, and of each fingerprint (fp, root, least): its component and the least doc in it."""
+    fps = checkpointed(fingerprints(docs, shingle))
+    nodes = fps.groupBy("fp").agg(F.min("doc").alias("doc"))
+    several = fps.where(F.col("doc") != LAST_ID).groupBy("doc").agg(F.min("fp").alias("b"), F.max("fp").alias("x")).where("b <> x").select("doc", "b")
+    shared = fps.join(several.hint("shuffle_hash"), "doc").select(F.col("fp").alias("a"), "b")
+    found = components(links(nodes).unionByName(shared))
+    rooted = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "doc", F.coalesce("root", "fp").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("doc").alias("least"))
+    return fps, rooted.join(least, "root").select("fp", "root", "least")
+
+
 def groups(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fingerprint, component_id) of each row.
 
@@ -173,30 +185,36 @@ def groups(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     stands by several texts links them. A row without doc_id is linked by its text; where no id is in reach, its
     component is null. An empty table gives an empty result; other columns are ignored.
     """
-    fps = checkpointed(fingerprints(docs, shingle))
-    nodes = fps.groupBy("fp").agg(F.min("doc").alias("doc"))
-    several = fps.where(F.col("doc") != LAST_ID).groupBy("doc").agg(F.min("fp").alias("b"), F.max("fp").alias("x")).where("b <> x").select("doc", "b")
-    shared = fps.join(several.hint("shuffle_hash"), "doc").select(F.col("fp").alias("a"), "b")
-    found = components(links(nodes).unionByName(shared))
-    rooted = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "doc", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("doc").alias("least"))
-    of_fp = rooted.join(least, "root").select("fp", "least")
+    fps, of_fp = _components(docs, shingle)
     shown = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     known = lambda c: F.when(F.col(c) != LAST_ID, F.col(c))
     return fps.join(of_fp, "fp").select(known("doc").alias("doc_id"), shown.alias("fingerprint"), known("least").alias("component_id"))
 
 
 def deduplicated(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """The rows of ``docs`` that stand for their group: the one of its smallest doc_id.
+    """The rows of ``docs`` that stand for their group: the one of its smallest doc_id; of rows that share it, one.
 
-    Of rows that share this doc_id one stays. Rows without doc_id stand for themselves unless an id is in reach.
+    A group without any doc_id keeps one of its rows. Columns of ``docs`` may have any name but _doc, _n, _fp.
     """
-    g = groups(docs, shingle)
-    first = g.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("_n"))
-    first = checkpointed(first.select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("_doc"), "_n"))
-    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID))
-    kept = docs.withColumn("_doc", doc).join(first.hint("shuffle_hash"), "_doc").drop("_doc")
-    once = kept.where((F.col("_n") == 1) | F.col("doc_id").isNull()).drop("_n")
-    if first.where(f"_n > 1 and _doc <> {LAST_ID}").isEmpty():
-        return once
-    return once.unionByName(kept.where((F.col("_n") > 1) & F.col("doc_id").isNotNull()).drop("_n").dropDuplicates(["doc_id"]))
+    fps, of_fp = _components(docs, shingle)
+    first = checkpointed(fps.join(of_fp, "fp").where((F.col("doc") == F.col("least")) & (F.col("doc") != LAST_ID)).groupBy(F.col("doc").alias("_doc")).agg(F.count("*").alias("_n")))
+    kept = docs.withColumn("_doc", F.col("doc_id").cast("long")).join(first.hint("shuffle_hash"), "_doc").drop("_doc")
+    out = kept.where("_n = 1").drop("_n")
+    if not first.where("_n > 1").isEmpty():
+        out = out.unionByName(kept.where("_n > 1").drop("_n").dropDuplicates(["doc_id"]))
+    if fps.where(F.col("doc") == LAST_ID).isEmpty():
+        return out
+    # Rows without id are known by their text alone.
+    alone = of_fp.where(F.col("least") == LAST_ID).select(F.col("fp").alias("_fp"), F.col("root").alias("_root"))
+    nameless = docs.where("doc_id is null")
+    schema = ", ".join([*(f"`{c}` {t}" for c, t in nameless.dtypes), "_fp long"])
+    columns = docs.columns
+    at = columns.index("text")
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fp = np.array([fingerprint((t.as_py() or "").encode(), shingle) for t in b.column(at)], U)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fp.view(np.int64))], names=[*columns, "_fp"])
+
+    one = nameless.mapInArrow(add, schema).join(alone, "_fp").dropDuplicates(["_root"]).select(*docs.columns)
+    return out.unionByName(one)

@@ -16,6 +16,10 @@ def test_article_without_what_surrounds_it():
     assert main_text(page) == "Head & tail\n\nFirst para with bold été text that runs on and on, so that it is long enough.\n\nShort.\n\none\n\ntwo\n\na\n\nb"
 
 
+def test_marks():
+    assert main_text('<div class="with-sidebar no-ads"><article><div class="post-header"><h1>T</h1><p>By someone</p></div><p>Body.</p><div class="shareButtons"><p>Share</p></div></article></div>') == "T\n\nBody."
+
+
 def test_two_passes_without_article():
     long = "This is the text of a page that has no article, and it is as long as the rules ask of it, with many of the words that are in all texts. " * 2
     page = f"<body><div><a href=1>One</a> <a href=2>Two</a></div><div><p>{long}</p><p>Short line</p><p>{long}</p></div><p>Tail</p><div><a href=3>All rights</a></div></body>"

@@ -62,3 +62,15 @@ def test_stages_in_turn(spark, docs, tmp_path):
 def test_run_gives_the_last_stage(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.columns == [*corpus_pipeline.COLUMNS, "ids", "n_tokens", "round_trip"] and out.count() > 0
+
+
+def test_odd_rows_in_every_stage(spark):
+    """Nulls in any column, empty and long texts, repeated rows, extra columns, and an empty table."""
+    rows = [(1, "a b c d. " * 40, "en", "s", 5, "extra"), (1, "a b c d. " * 40, "en", "s", 5, "extra"), (2, None, None, None, None, None), (None, "", "en", "s", 0, "x"), (None, "some words here", None, "t", 3, "x"), (3, "Long text of words. " * 30_000, "en", None, 1, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, ids string")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        assert out.columns[:5] == list(corpus_pipeline.COLUMNS), name
+        n = len(out.collect())
+        assert (n == 6 if name in ("suffix", "bpe") else n <= 12), name
+        assert stage(spark, docs.limit(0), SF).collect() == [], name

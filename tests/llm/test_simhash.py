@@ -47,12 +47,13 @@ def test_against_all_pairs(spark):
             rows.append((i, " ".join(w)))
         else:
             rows.append((i, " ".join(r.choice(words) for _ in range(r.choice([1, 2, 3, 80, 200])))))
-    rows += [(900, None), (901, ""), (902, " \n"), (5, "another text under one id"), (None, rows[3][1]), (None, "alone " * 3), (7, rows[7][1])]
+    rows += [(900, None), (901, ""), (902, " \n"), (5, "another text under one id"), (None, rows[3][1]), (None, "alone " * 3), (None, "alone " * 3), (7, rows[7][1])]
     docs = spark.createDataFrame([(*x, 1) for x in rows], "doc_id long, text string, root int").repartition(3)
     got = sorted(map(tuple, simhash.groups(docs).collect()), key=repr)
     assert got == sorted(plain_groups(rows), key=repr)
     kept = [r.doc_id for r in simhash.deduplicated(docs).collect()]
     assert sorted(d for d in kept if d is not None) == sorted({d for d, _, c in plain_groups(rows) if d is not None and d == c})
+    assert kept.count(None) == 1  # the text that no row with an id is near
 
 
 def test_dense_balls_lose_no_link(spark):
