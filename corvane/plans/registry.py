@@ -19,7 +19,7 @@ from ..operators import chunk as C
 from ..operators import evaluate as E
 from ..operators import extract, parse, rerank, search, state, sync
 from ..operators import index as I
-from ..sources.files import table
+from ..sources.files import shared_folder, table
 from ..streaming import events as S
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -628,11 +628,9 @@ def health(spark, sf_dir):
 @query()
 def stream_sync(spark, sf_dir):
     """The events as a file stream, through foreachBatch, into a state table; then what the state holds."""
-    import tempfile
     import uuid
 
-    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stream-")
-    top = f"{top}/stream-{uuid.uuid4().hex}"
+    top = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     payloads(spark, sf_dir).select("event_id", "value").write.parquet(f"{top}/events")
     stream = spark.readStream.schema("event_id long, value string").parquet(f"{top}/events")
     store = state.Snapshots(spark, f"{top}/state", "page_id string, content_hash string, last_modified string, space_key string, title string, url string")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,3 +18,11 @@ def read_jsonl(spark: SparkSession, path: str, schema: str = QUESTION) -> DataFr
     """One object a line; blank lines are no rows."""
     lines = spark.read.text(path).where(F.trim("value") != "")
     return lines.select(F.from_json(F.trim("value"), schema).alias("x")).select("x.*")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A folder that driver and executors share: spark.checkpoint.dir, or, in local mode alone, a temporary one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return folder or tempfile.mkdtemp(prefix="corvane-")
