@@ -19,7 +19,7 @@ from ..operators import chunk as C
 from ..operators import evaluate as E
 from ..operators import extract, parse, rerank, search, state, sync
 from ..operators import index as I
-from ..sources.files import shared_folder, table
+from ..sources.files import read_jsonl, shared_folder, table
 from ..streaming import events as S
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -651,3 +651,67 @@ def cosine_pairs(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     a, b = e.select(F.col("vec_id").alias("a"), F.col("embedding").alias("x")), e.select(F.col("vec_id").alias("b"), F.col("embedding").alias("y"))
     return a.join(b, F.col("b") == F.col("a") + 1).select("a", "b", F.round(cosine(F.col("x"), F.col("y")), 6).alias("score"))
+
+
+# Small surfaces.
+
+
+@query("SELECT 'Q ' || text AS question, len([item_id::VARCHAR, 'x'])::INTEGER AS n_gold, item_id::VARCHAR AS first_gold FROM benchmark")
+def jsonl_scan(spark, sf_dir):
+    """Questions written as JSON lines, with blank lines between, and read again."""
+    import uuid
+
+    path = f"{shared_folder(spark)}/jsonl-{uuid.uuid4().hex}"
+    row = F.struct(F.concat(F.lit("Q "), F.col("text")).alias("question"), F.array(F.col("item_id").cast("string"), F.lit("x")).alias("gold_page_ids"))
+    table(spark, sf_dir, "benchmark").select(F.explode(F.array(F.concat(F.lit(" "), F.to_json(row)), F.lit("  "))).alias("value")).write.text(path)
+    return read_jsonl(spark, path).select("question", F.size("gold_page_ids").alias("n_gold"), F.col("gold_page_ids")[0].alias("first_gold"))
+
+
+@query(
+    f"""SELECT page_id, page_id || ':0' AS chunk_id, space_key, title, space_key || ' > ' || title AS breadcrumb, 'https://wiki.example/display/' || page_id AS url, 'old' AS last_modified, {HASH_SQL} AS content_hash,
+    space_key || ' > ' || title || chr(10) || chr(10) || text AS text FROM {PAGES_SQL} p WHERE title <> ''"""
+)
+def payload(spark, sf_dir):
+    """The payload of a page's first chunk: the page's columns and the chunk's, without a join."""
+    p = pages(spark, sf_dir).where("title <> ''").withColumns({"author": F.lit(""), "labels": F.array().cast("array<string>"), "last_modified": F.lit("old"), "url": F.concat(F.lit("https://wiki.example/display/"), F.col("page_id")), "content_hash": T.content_hash(F.col("title"), F.col("text"))})
+    crumb = T.breadcrumb(F.col("space_key"), F.array().cast("array<string>"), F.col("title"))
+    chunks = p.withColumns({"chunk_id": T.chunk_id(F.col("page_id"), F.lit(0)), "breadcrumb": crumb, "text": T.chunk_text(crumb, F.col("text"))})
+    made = I.points(chunks, lambda text: F.array().cast("array<float>"))
+    return made.select("page_id", "chunk_id", "space_key", "title", "breadcrumb", "url", "last_modified", "content_hash", "text")
+
+
+@query("SELECT item_id, '{\"answer\":\"A' || item_id::VARCHAR || '\",\"citations\":[],\"used_context\":' || CASE WHEN item_id % 2 = 0 THEN 'true' ELSE 'false' END || '}' AS json FROM benchmark")
+def dict_projection(spark, sf_dir):
+    result = F.struct(F.concat(F.lit("A"), F.col("item_id").cast("string")).alias("answer"), F.array().cast(f"array<{A.CITATION}>").alias("citations"), (F.col("item_id") % 2 == 0).alias("used_context"))
+    return table(spark, sf_dir, "benchmark").select("item_id", F.to_json(result).alias("json"))
+
+
+@query(f"SELECT conv_id, turn, role, CASE WHEN turn % 3 = 0 OR trim(text, ' ' || chr(10)) = '' THEN '{A.NO_CONTEXT}' ELSE trim(text, ' ' || chr(10)) END AS answer FROM conversations")
+def answer_normalise(spark, sf_dir):
+    said = F.when(F.col("turn") % 3 != 0, F.concat(F.lit(" "), F.col("text"), F.lit("\n")))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", A.gated(said).alias("answer"))
+
+
+@query("SELECT item_id AS qid FROM benchmark WHERE item_id % 4 <> 0")
+def blank_questions(spark, sf_dir):
+    """Questions without text are no questions."""
+    asked = questions(spark, sf_dir).withColumn("question", F.when(F.col("qid") % 4 == 0, F.lit("  ")).otherwise(F.col("question")))
+    nothing = spark.createDataFrame([], "qid long, rank int, page_id string, title string, url string, last_modified string, text string")
+    return A.answer(asked, nothing).select("qid")
+
+
+@query(
+    f"""SELECT count(*) AS seen, count_if(outcome = 'indexed' AND doc_id % 11 <> 0)::BIGINT AS indexed, count_if(outcome = 'restricted')::BIGINT AS skipped_restricted,
+    count_if(outcome = 'unchanged' AND doc_id % 11 <> 0)::BIGINT AS skipped_unchanged, 0::BIGINT AS deleted, count_if(outcome <> 'restricted' AND doc_id % 11 = 0)::BIGINT AS errors FROM {OUTCOME_SQL} o"""
+)
+def sync_errors(spark, sf_dir):
+    """A page that fails is counted and the others go on."""
+    failing = state_pages(spark, sf_dir).withColumn("error", F.when(F.col("doc_id") % 11 == 0, F.lit("bad page")))
+    restricted = table(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").cast("string").alias("page_id"))
+    return sync.stats(sync.outcomes(failing, restricted, known_state(spark, sf_dir)))
+
+
+@query()
+def dense_embed(spark, sf_dir):
+    """Vectors of texts from the default embedder."""
+    return table(spark, sf_dir, "documents").select("doc_id", I.hashing_embedding(64)(F.col("text")).alias("dense"))
