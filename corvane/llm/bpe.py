@@ -11,6 +11,7 @@ import hashlib
 import json
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 from itertools import chain
 
 import pyarrow as pa
@@ -19,7 +20,8 @@ from pyspark.sql import DataFrame
 
 from .common import text_or_empty
 
-#: Entries of the tables of pre-tokens and of fragments of a worker; a full table is emptied.
+#: Entries of a worker's tables of pre-tokens and of fragments. A full table is put aside and serves until the next one
+#: is full, so that what is frequent stays.
 TABLE = 200_000
 #: The split pattern of this family of byte-level tokenizers; a fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -41,19 +43,24 @@ class Codec:
         letters = byte_letters()
         raw = lambda s: bytes(letters[c] for c in s)
         self.special = {t["content"].encode(): t["id"] for t in spec["added_tokens"]}
-        vocab = {raw(s): i for s, i in spec["model"]["vocab"].items() if s.encode() not in self.special or all(c in letters for c in s) and spec["model"]["vocab"][s] != self.special[s.encode()]}
-        self.ids = vocab
+        vocab = {raw(s): i for s, i in spec["model"]["vocab"].items() if s.encode() not in self.special}
         self.bytes_of = {i: b for b, i in vocab.items()} | {i: b for b, i in self.special.items()}
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        # A pair of ids as one number to its rank, and each rank to the id that the pair becomes.
+        self.ranks: dict[int, int] = {}
+        self.made: list[int] = []
         for rank, m in enumerate(spec["model"]["merges"]):
             a, b = (raw(s) for s in (m if isinstance(m, list) else m.split(" ")))
-            self.merges[vocab[a], vocab[b]] = (rank, vocab[a + b])
+            self.ranks[vocab[a] << 32 | vocab[b]] = rank
+            self.made.append(vocab[a + b])
+        self.single = [vocab[bytes([b])] for b in range(256)]
         inside = {(t[i], t[i + 1]) for t in vocab for i in range(len(t) - 1)}
         self.cut = [bytearray((a, b) not in inside for b in range(256)) for a in range(256)]
         self.split = regex.compile(PATTERN).findall
         self.special_split = regex.compile("(" + "|".join(regex.escape(s.decode()) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.tokens: dict[str, tuple[int, ...]] = {}
+        self.old_tokens: dict[str, tuple[int, ...]] = {}
         self.fragments: dict[bytes, tuple[int, ...]] = {}
+        self.old_fragments: dict[bytes, tuple[int, ...]] = {}
 
     def cuts(self, word: bytes) -> list[bytes]:
         """The fragments of a pre-token between its certain cuts."""
@@ -66,64 +73,78 @@ class Codec:
         return out
 
     def merge(self, fragment: bytes) -> tuple[int, ...]:
-        """Merge the pair of lowest rank, leftmost first, until none is left; a heap and links keep long fragments from taking quadratic time."""
-        ids = [self.ids[fragment[i : i + 1]] for i in range(len(fragment))]
-        merges = self.merges
-        if len(ids) < 40:
-            while len(ids) > 1:
-                best = min(((merges.get((ids[i], ids[i + 1]), (1 << 60, 0)), i) for i in range(len(ids) - 1)))
-                if best[0][0] == 1 << 60:
-                    break
-                ids[best[1] : best[1] + 2] = [best[0][1]]
-            return tuple(ids)
-        from heapq import heapify, heappop, heappush
-
-        n = len(ids)
+        """Merge the pair of lowest rank, leftmost first, until none is left."""
+        ids = [self.single[b] for b in fragment]
+        if len(ids) > 128:
+            return self.merge_long(ids)
+        none = len(self.made)
+        rank_of, made = self.ranks.get, self.made
+        ranks = [rank_of(a << 32 | b, none) for a, b in zip(ids, ids[1:], strict=False)]
+        while ranks:
+            best = min(ranks)
+            if best == none:
+                break
+            i = ranks.index(best)
+            ids[i] = made[best]
+            del ids[i + 1], ranks[i]
+            if i:
+                ranks[i - 1] = rank_of(ids[i - 1] << 32 | ids[i], none)
+            if i < len(ranks):
+                ranks[i] = rank_of(ids[i] << 32 | ids[i + 1], none)
+        return tuple(ids)
+
+    def merge_long(self, ids: list[int]) -> tuple[int, ...]:
+        """The same with a heap and links, for fragments where searching the list would take quadratic time."""
+        n, rank_of = len(ids), self.ranks.get
         after, before = [*range(1, n), -1], [-1, *range(n - 1)]
-        heap = [(*m, i, ids[i], ids[i + 1]) for i in range(n - 1) if (m := merges.get((ids[i], ids[i + 1])))]
-        heap = [(r, i, new, a, b) for r, new, i, a, b in heap]
+        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := rank_of(ids[i] << 32 | ids[i + 1])) is not None]
         heapify(heap)
         while heap:
-            _, i, new, a, b = heappop(heap)
+            rank, i, a, b = heappop(heap)
             j = after[i]
             if ids[i] != a or j < 0 or ids[j] != b:
                 continue
-            ids[i], ids[j] = new, -1
+            ids[i], ids[j] = self.made[rank], -1
             after[i] = after[j]
             if after[j] >= 0:
                 before[after[j]] = i
             for x, y in ((before[i], i), (i, after[i])):
-                if x >= 0 and y >= 0 and (m := merges.get((ids[x], ids[y]))):
-                    heappush(heap, (m[0], x, m[1], ids[x], ids[y]))
+                if x >= 0 and y >= 0 and (r := rank_of(ids[x] << 32 | ids[y])) is not None:
+                    heappush(heap, (r, x, ids[x], ids[y]))
         return tuple(x for x in ids if x >= 0)
 
+    def fragment(self, f: bytes) -> tuple[int, ...]:
+        """A fragment that is not in the table."""
+        got = self.old_fragments.get(f) or self.merge(f)
+        if len(f) <= 64:
+            if len(self.fragments) >= TABLE:
+                self.old_fragments, self.fragments = self.fragments, {}
+            self.fragments[f] = got
+        return got
+
     def word(self, token: str) -> tuple[int, ...]:
-        out: tuple[int, ...] = ()
-        fragments = self.fragments
-        for f in self.cuts(token.encode()):
-            got = fragments.get(f)
-            if got is None:
-                got = self.merge(f)
-                if len(f) <= 64:
-                    if len(fragments) >= TABLE:
-                        fragments.clear()
-                    fragments[f] = got
-            out += got
+        """A pre-token that is not in the table."""
+        out = self.tokens.get(token) or self.old_tokens.get(token)
+        if out is None:
+            known = self.fragments
+            parts = [known.get(f) or self.fragment(f) for f in self.cuts(token.encode())]
+            out = parts[0] if len(parts) == 1 else tuple(chain.from_iterable(parts))
         if len(token) <= 64:
             if len(self.tokens) >= TABLE:
-                self.tokens.clear()
+                self.old_tokens, self.tokens = self.tokens, {}
             self.tokens[token] = out
         return out
 
     def encode(self, text: str) -> list[int]:
         """Token ids of a text; strings of special tokens are those tokens."""
         parts = self.special_split.split(text) if self.special_split else [text]
-        known, word, out = self.tokens, self.word, []
+        word, out = self.word, []
         for k, p in enumerate(parts):
             if k % 2:
                 out.append(self.special[p.encode()])
             elif p:
-                out.extend(chain.from_iterable([known[t] if t in known else word(t) for t in self.split(p)]))
+                known = self.tokens.get  # the table of this moment; what is missing in it is looked for again
+                out.extend(chain.from_iterable([known(t) or word(t) for t in self.split(p)]))
         return out
 
     def decode(self, ids: list[int]) -> str:
