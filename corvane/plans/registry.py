@@ -206,11 +206,11 @@ def restricted_pages(spark, sf_dir):
 # Scans.
 
 
-@query("SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderdate >= TIMESTAMP '1996-06-01' AND o_orderpriority IN ('1-URGENT', '2-HIGH')")
+@query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate FROM orders WHERE o_orderdate >= TIMESTAMP '1996-06-01' AND o_orderpriority IN ('1-URGENT', '2-HIGH')")
 def delta_scan(spark, sf_dir):
     o = table(spark, sf_dir, "orders").withColumnsRenamed({"o_orderpriority": "space_key", "o_orderdate": "last_modified"})
     found = o.where((F.col("last_modified") >= F.lit("1996-06-01").cast("timestamp")) & F.col("space_key").isin("1-URGENT", "2-HIGH")).orderBy("last_modified")
-    return found.select("o_orderkey", F.col("last_modified").alias("o_orderdate"))
+    return found.select("o_orderkey", F.date_format("last_modified", "yyyy-MM-dd HH:mm:ss").alias("o_orderdate"))
 
 
 @query(f"SELECT page_id, title FROM {PAGES_SQL} p WHERE space_key IN ('src0', 'src3')")
