@@ -22,8 +22,8 @@ from .windows import LAST_ID, U, Spec, covered, mix, repeated_windows, starts_of
 LENGTH, GRAM = 20, 5
 
 
-def extended(ah: np.ndarray, doc: np.ndarray, pos: np.ndarray, left: np.ndarray, right: np.ndarray, context: np.ndarray, side: int) -> np.ndarray:
-    """Flags, per row and offset, windows whose words also start earlier, by (doc, position)."""
+def extended(ah: np.ndarray, doc: np.ndarray, pos: np.ndarray, ok: np.ndarray, context: np.ndarray, side: int) -> np.ndarray:
+    """Flags, of the windows ok (per row and offset), those whose words also start earlier, by (doc, position)."""
     n = len(ah)
     words = np.ascontiguousarray(context).view(U)
     flags = np.zeros((n, side + 1), bool)
@@ -35,7 +35,7 @@ def extended(ah: np.ndarray, doc: np.ndarray, pos: np.ndarray, left: np.ndarray,
     for o in range(side + 1):
         if o:
             back = mix(back + words[:, side - o] * U(0xC2B2AE3D27D4EB4F))
-        i = np.flatnonzero((o <= left) & (side - o <= right))
+        i = np.flatnonzero(ok[:, o])
         if not len(i):
             continue
         window = back[i] ^ (ahead[side - o][i] * U(0xD6E8FEB86659FD93))
@@ -51,8 +51,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> t
     """Texts dealt by key, and per text the starts of windows of ``length`` words that also start earlier."""
     spec = Spec(length, gram, words=True, ordered=True)
 
-    def repeated(ah, doc, pos, left, right, context):
-        return extended(ah, doc, pos, left, right, context, spec.side)
+    def repeated(ah, doc, pos, ok, context):
+        return extended(ah, doc, pos, ok, context, spec.side)
 
     return repeated_windows(docs, repeated, spec)
 

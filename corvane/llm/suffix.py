@@ -28,21 +28,16 @@ DIGIT = 34
 AT_ONCE = 1 << 20
 
 
-def radix_groups(ah: np.ndarray, context: np.ndarray, left: np.ndarray, right: np.ndarray, side: int) -> np.ndarray:
-    """Flags, per row and offset, the suffixes that share all their bytes with another row's. Offsets never meet: equal windows have their anchor at one offset."""
+def radix_groups(ah: np.ndarray, ok: np.ndarray, context: np.ndarray, side: int) -> np.ndarray:
+    """Flags, of the suffixes ok (per row and offset), those that share all their bytes with another row's. Offsets never meet: equal windows have their anchor at one offset."""
     n = len(ah)
     flags = np.zeros((n, side + 1), bool)
-
-    v = BYTE[context]
-    flat = prefix(v.ravel())
+    flat = prefix(BYTE[context].ravel())
     step = max(1, AT_ONCE // max(n, 1))
     row_at = np.arange(n, dtype=np.int64) * (2 * side)
-
-    for lo in range(0, side + 1, step):
-        o = np.arange(lo, min(lo + step, side + 1))
-        ok = (o[None, :] <= left[:, None]) & (side - o[None, :] <= right[:, None])
-        row, col = np.nonzero(ok)
-        off = o[col]
+    for first in range(0, side + 1, step):
+        row, col = np.nonzero(ok[:, first : first + step])
+        off = col + first
         # The first digit: the anchor's gram and the offset, as the passes before have left them.
         group = ah[row].view(U) * U(2 * side + 3) + off.astype(U)
         start = row_at[row] + side - off
@@ -68,8 +63,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, carr
     """Texts dealt by key, and per text the starts of windows of ``length`` bytes that also start elsewhere."""
     spec = Spec(length, gram, words=False, ordered=False)
 
-    def repeated(ah, doc, pos, left, right, context):
-        return radix_groups(ah, context, left, right, spec.side)
+    def repeated(ah, doc, pos, ok, context):
+        return radix_groups(ah, ok, context, spec.side)
 
     return repeated_windows(docs, repeated, spec, carry)
 

@@ -10,8 +10,10 @@ ties), its *anchor*; equal windows have equal anchors at equal offsets. So:
    that a batch holds with many extents is known to repeat; neither is sent to the task of its hash.
 2. ``settle`` meets the anchors of one hash. One that stands alone is dropped. Equal extents mean that all
    their windows repeat. What is left (equal anchors, different extents) goes on to be compared.
-3. ``contexts`` fetches the tokens about these anchors only; suffix.py and substring.py each compare them
-   in their own way and give the windows that repeat.
+3. ``contexts`` fetches the tokens about these anchors only, and deals them by anchor. A hot anchor's are dealt by
+   ranges of offsets, each by the tokens that all windows of the range share, after equal ones of a batch are settled:
+   what surrounds a very common passage differs and so spreads, what is equal meets as a few rows.
+   suffix.py and substring.py each compare contexts in their own way and give the windows that repeat.
 4. ``spans`` gathers the repeated windows of each text.
 
 A text is known by (doc_id, tag), tag being 32 bits of its hash, so rows that share a doc_id by mistake
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, text_or_empty
+from .common import buffers, fixed_binary, text_or_empty
 
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15
@@ -38,7 +40,10 @@ PIECE = 1 << 19
 LAST_ID = (1 << 63) - 1
 #: An anchor with so many extents in one batch repeats for sure and skips the task of its hash.
 HOT_IN_BATCH = 64
-UNDECIDED, FULL, COMPARE = 0, 1, 2
+#: And one with so many in that task is hot too.
+HOT_IN_TASK = 4096
+#: HOT goes with COMPARE: the contexts of a hot anchor are dealt by more of their tokens (``contexts``).
+UNDECIDED, FULL, COMPARE, HOT = 0, 1, 2, 4
 BYTE = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
 
 
@@ -211,8 +216,9 @@ def anchors(docs: DataFrame, spec: Spec) -> DataFrame:
             order, of_a, of_e, head, full = judge(ah, eh, d, pos, spec.ordered)
             # Of a hot anchor, two extents still meet the other batches, to tell them that it repeats.
             extents = np.bincount(of_a, weights=head).astype(np.int64)[of_a]
-            hot = (extents >= HOT_IN_BATCH) & (of_e - of_e[np.flatnonzero(starts_of(of_a))][of_a] >= 2)
-            kind = np.where(full, FULL, UNDECIDED) | np.where(hot & head, COMPARE, 0)
+            is_hot = extents >= HOT_IN_BATCH
+            hot = is_hot & (of_e - of_e[np.flatnonzero(starts_of(of_a))][of_a] >= 2)
+            kind = np.where(full, FULL, UNDECIDED) | np.where(hot & head, COMPARE, 0) | np.where(is_hot, HOT, 0)
             ah, eh, d, packed = ah[order].view(np.int64), eh[order].view(np.int64), d[order], packed[order]
             # Settled rows go anywhere. Of an extent that repeats here, the first goes on.
             settled = hot | (full if spec.ordered else full & ~head)
@@ -246,14 +252,15 @@ def settle(found: DataFrame, spec: Spec) -> DataFrame:
             i = i[order]
             extents = np.bincount(of_a, weights=head)[of_a]
             full |= (kind[i] & FULL) > 0
-            out_kind = np.where(full, FULL, 0) | np.where(head & (extents > 1), COMPARE, 0)
+            hot = (np.bincount(of_a, weights=(kind[i] & HOT) > 0)[of_a] > 0) | (extents >= HOT_IN_TASK)
+            out_kind = np.where(full, FULL, 0) | np.where(head & (extents > 1), COMPARE, 0) | np.where(hot, HOT, 0)
             if spec.ordered:  # ties of the first occurrence are compared with it
                 tie = ~full & ~head & (extents > 1)
                 out_kind = out_kind | np.where(tie, COMPARE, 0)
         j = np.flatnonzero(done)
         doc, packed, ah = (np.concatenate((c[j], c[i])) for c in (doc, packed, ah))
         kind = np.concatenate((kind[j], out_kind)).astype(np.int32)
-        keep = kind > 0
+        keep = (kind & (FULL | COMPARE)) > 0
         return pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (doc, packed, kind, ah)], names=["doc", "packed", "kind", "ah"]) if keep.any() else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,11 +301,60 @@ def whole_groups(batches: Iterator[pa.RecordBatch], key: int, at_least: int = 1
         yield [np.concatenate(x) for x in zip(*held, strict=True)]
 
 
-CONTEXT = "ah long, doc long, packed long, room long, context binary"
+CONTEXT = "route long, ah long, doc long, packed long, room long, reach long, known int, context binary"
+CONTEXT_COLUMNS = [c.split()[0] for c in CONTEXT.split(", ")]
+
+
+def offset_ranges(side: int) -> list[tuple[int, int]]:
+    """0..side in ranges that double in width from both ends to the middle."""
+    out, lo, width = [], 0, 1
+    half = side // 2
+    while lo <= half:
+        hi = min(half, max(lo, lo + width - 1))
+        out.append((lo, hi))
+        width = max(1, lo + width) if lo else 1
+        lo = hi + 1
+    mirrored = [(side - b, side - a) for a, b in out]
+    return out + [(max(a, half + 1), b) for a, b in mirrored if b > half]
+
+
+def dealt_contexts(ah: np.ndarray, doc: np.ndarray, packed: np.ndarray, room: np.ndarray, hot: np.ndarray, context: np.ndarray, spec: Spec) -> pa.RecordBatch:
+    """Rows of CONTEXT: a plain anchor's one row, and a hot one's row for each range of offsets."""
+    side = spec.side
+    cold = np.flatnonzero(~hot)
+    parts = [(ah[cold], cold, np.full(len(cold), side, np.int64), np.zeros(len(cold), np.int32))]
+    i = np.flatnonzero(hot)
+    if len(i):
+        tokens = np.ascontiguousarray(context[i]).view(U) if spec.words else BYTE[context[i]]
+        p = prefix(tokens.ravel())
+        base = np.arange(len(i), dtype=np.int64) * (2 * side)
+        left, right = room[i] >> 32, room[i] & np.int64(0xFFFFFFFF)
+        for a, b in offset_ranges(side):
+            lo, hi = np.maximum(a, side - right), np.minimum(b, left)
+            ok = np.flatnonzero(lo <= hi)
+            if not len(ok):
+                continue
+            at, lo, hi, r = base[ok], lo[ok], hi[ok], i[ok]
+            core = part(p, at + side - a, at + 2 * side - b)
+            route = mix(core + mix(ah[r].view(U) + U((a + 1) * BASE % (1 << 64))))
+            whole = mix(part(p, at + side - hi, at + 2 * side - lo) + ((lo << 32) | hi).astype(U))
+            pos = packed[r] & np.int64(0xFFFFFFFF)
+            order, _, _, head, full = judge(route, whole, doc[r], pos, spec.ordered)
+            route = route[order].view(np.int64)
+            away = full if spec.ordered else full & ~head  # settled here; the first one goes on
+            route = np.where(away, packed[r][order] * np.int64(0x5851F42D4C957F2D) + a, route)
+            parts.append((route, r[order], ((lo << 32) | hi)[order], full.astype(np.int32)))
+    route, rows, reach, known = (np.concatenate(x) for x in zip(*parts, strict=True))
+    columns = (route, ah[rows], doc[rows], packed[rows], room[rows], reach, known)
+    return pa.RecordBatch.from_arrays([*(pa.array(x) for x in columns), fixed_binary(context[rows])], names=CONTEXT_COLUMNS)
 
 
 def contexts(docs: DataFrame, settled: DataFrame, spec: Spec) -> DataFrame:
-    """For each anchor to compare: side tokens before it and side tokens after it. room holds how many of them its text has, left in the high 32 bits."""
+    """For each anchor to compare: side tokens before it and side tokens after it.
+
+    room: how many of them its text has, left in the high 32 bits. reach: the offsets that the row is about, the first in
+    the high bits. known: whether they are known to repeat.
+    """
     width = 8 if spec.words else 1
     side, k = spec.side, spec.gram
 
@@ -309,12 +365,13 @@ def contexts(docs: DataFrame, settled: DataFrame, spec: Spec) -> DataFrame:
             wanted = batch.column(3)
             each = np.diff(wanted.offsets.to_numpy())
             flat = wanted.flatten()
-            all_pos, all_ah = flat.field(0).to_numpy(), flat.field(1).to_numpy()
+            all_pos, all_ah, all_hot = flat.field(0).to_numpy(), flat.field(1).to_numpy(), flat.field(2).to_numpy(zero_copy_only=False)
             first = 0
             made: list[tuple] = []
             size = 0
             for i in range(batch.num_rows):
-                pos, ah = all_pos[first : first + each[i]], all_ah[first : first + each[i]]
+                of = slice(first, first + each[i])
+                pos, ah, hot = all_pos[of], all_ah[of], all_hot[of]
                 first += each[i]
                 if spec.words:
                     tokens = word_tokens(data, at[i : i + 1], at[i + 1 : i + 2])[0]
@@ -325,16 +382,16 @@ def contexts(docs: DataFrame, settled: DataFrame, spec: Spec) -> DataFrame:
                 reach = np.lib.stride_tricks.sliding_window_view(padded, side)
                 rows = np.concatenate((reach[pos], reach[pos + side + k]), axis=1)
                 room = (np.minimum(side, pos) << 32) | np.minimum(side, n - k - pos)
-                made.append((ah, np.full(len(pos), doc[i]), (np.int64(tag[i]) << 32) | pos, room, rows.view(np.uint8).reshape(len(pos), 2 * side * width)))
+                made.append((ah, np.full(len(pos), doc[i]), (np.int64(tag[i]) << 32) | pos, room, hot, rows.view(np.uint8).reshape(len(pos), 2 * side * width)))
                 size += rows.nbytes
                 if size > 1 << 23 or i == batch.num_rows - 1:
-                    a, d, p, r, c = (np.concatenate(x) for x in zip(*made, strict=True))
-                    yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in (a, d, p, r)), fixed_rows(c)], names=["ah", "doc", "packed", "room", "context"])
+                    yield dealt_contexts(*(np.concatenate(x) for x in zip(*made, strict=True)), spec)
                     made, size = [], 0
 
+    one = F.struct(F.col("packed").bitwiseAND(0xFFFFFFFF).alias("pos"), "ah", (F.col("kind").bitwiseAND(HOT) > 0).alias("hot"))
     by_text = (
         settled.where(F.col("kind").bitwiseAND(COMPARE) > 0)
-        .select("doc", F.shiftright("packed", 32).cast("int").alias("tag"), F.struct(F.col("packed").bitwiseAND(0xFFFFFFFF).alias("pos"), "ah").alias("x"))
+        .select("doc", F.shiftright("packed", 32).cast("int").alias("tag"), one.alias("x"))
         .groupBy("doc", "tag")
         .agg(F.collect_list("x").alias("wanted"))
     )
@@ -342,12 +399,6 @@ def contexts(docs: DataFrame, settled: DataFrame, spec: Spec) -> DataFrame:
     return docs.join(by_text.hint("shuffle_hash"), ["doc", "tag"]).select("doc", "tag", "text", "wanted", *(c for c in docs.columns if c == "rest")).mapInArrow(run, CONTEXT)
 
 
-def fixed_rows(rows: np.ndarray) -> pa.Array:
-    from .common import fixed_binary
-
-    return fixed_binary(rows)
-
-
 SPAN = "doc long, tag int, lo int, hi int"
 
 
@@ -372,19 +423,21 @@ def keyed(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
 
 
 def compared(rows: DataFrame, repeated, spec: Spec) -> DataFrame:
-    """Meet the contexts of an anchor; ``repeated(ah, doc, pos, left, right, context)`` flags, per row and offset 0..side, the windows that repeat."""
-    side = spec.side
+    """Meet the contexts of a route; ``repeated(ah, doc, pos, ok, context)`` flags, of the windows ok (per row and offset 0..side), those that repeat."""
+    offsets = np.arange(spec.side + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ah, doc, packed, room, context in whole_groups(batches, 0, 1 << 14):
+        for _, ah, doc, packed, room, reach, known, context in whole_groups(batches, 0, 1 << 14):
             pos = packed & np.int64(0xFFFFFFFF)
-            flags = repeated(ah, doc, pos, room >> 32, room & np.int64(0xFFFFFFFF), context)
+            low = np.int64(0xFFFFFFFF)
+            lo, hi = np.maximum(reach >> 32, spec.side - (room & low)), np.minimum(reach & low, room >> 32)
+            ok = (offsets >= lo[:, None]) & (offsets <= hi[:, None])
+            flags = repeated(ah, doc, pos, ok, context) | (ok & (known > 0)[:, None])
             row, first, last = runs(flags)
             if len(row):  # the window at offset o starts o tokens before its anchor
                 yield span_batch(doc[row], packed[row], pos[row] - last, pos[row] - first)
 
-    assert side > 0
-    return rows.repartition("ah").sortWithinPartitions("ah").mapInArrow(run, SPAN)
+    return rows.repartition("route").sortWithinPartitions("route").mapInArrow(run, SPAN)
 
 
 def repeated_windows(docs: DataFrame, repeated, spec: Spec, carry: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:

@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
 from corvane.llm import substring, suffix, windows
@@ -128,3 +129,70 @@ def test_hot_extents(spark):
     assert Counter(map(tuple, got)) == Counter(brute_bytes(rows, 200))
     got = substring.drop_repeats(docs).collect()
     assert Counter(map(tuple, got)) == Counter(brute_words(rows, 20))
+
+
+def test_offset_ranges():
+    for side in (1, 2, 3, 15, 136):
+        flat = [o for a, b in windows.offset_ranges(side) for o in range(a, b + 1)]
+        assert sorted(flat) == list(range(side + 1))
+    assert len(windows.offset_ranges(136)) < 20
+
+
+@pytest.mark.parametrize("ordered", [False, True])
+def test_hot_contexts_give_what_plain_ones_give(ordered):
+    """The rows of a hot anchor, dealt by ranges of offsets, flag the same windows."""
+    import numpy as np
+
+    spec = windows.Spec(20, 5, words=True, ordered=ordered)
+    r = np.random.default_rng(8)
+    n, side = 400, spec.side
+    words = r.integers(1, 3, (n, 2 * side)).astype(np.uint64)
+    words[:, side : side + 9] = 7
+    words[::3, side - 6 : side] = 7
+    ah, doc, pos = np.full(n, 5, np.int64), r.integers(0, 150, n), r.integers(20, 60, n)
+    room = (r.integers(8, side + 1, n) << 32) | r.integers(8, side + 1, n)
+
+    def flagged(hot):
+        b = windows.dealt_contexts(ah, doc, pos, room, np.full(n, hot), words.view(np.uint8).reshape(n, -1), spec)
+        order = np.argsort(b.column(0).to_numpy(), kind="stable")
+        b = b.take(pa.array(order))
+        route, a, d, packed, space, reach, known, context = next(windows.whole_groups(iter([b]), 0))
+        lo, hi = np.maximum(reach >> 32, side - (space & 0xFFFFFFFF)), np.minimum(reach & 0xFFFFFFFF, space >> 32)
+        o = np.arange(side + 1)
+        ok = (o >= lo[:, None]) & (o <= hi[:, None])
+        flags = substring.extended(a, d, packed, ok, context, side) if ordered else suffix_like(a, ok, context, side)
+        flags |= ok & (known > 0)[:, None]
+        out = Counter()
+        for i, k in zip(*np.nonzero(flags), strict=True):
+            out[int(d[i]), int(packed[i]), int(k), context[i].tobytes()] += 1
+        return out
+
+    def suffix_like(a, ok, context, side):
+        w = np.ascontiguousarray(context).view(np.uint64)
+        flags = np.zeros_like(ok)
+        for o in range(side + 1):
+            seen = Counter(w[i, side - o : 2 * side - o].tobytes() for i in np.flatnonzero(ok[:, o]))
+            for i in np.flatnonzero(ok[:, o]):
+                flags[i, o] = seen[w[i, side - o : 2 * side - o].tobytes()] > 1
+        return flags
+
+    assert flagged(True) == flagged(False)
+
+
+@pytest.mark.parametrize("seed", [11, 12])
+def test_all_anchors_hot(spark, seed, monkeypatch):
+    """With every anchor dealt as a hot one, results stay the same."""
+    rows = corpus(seed)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    settle = windows.settle
+    monkeypatch.setattr(windows, "settle", lambda found, spec: hot_kind(settle(found, spec)))
+    got = suffix.drop_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    assert Counter(map(tuple, got)) == Counter(brute_bytes(rows, 200))
+    got = substring.drop_repeats(docs).collect()
+    assert Counter(map(tuple, got)) == Counter(brute_words(rows, 20))
+
+
+def hot_kind(settled):
+    from pyspark.sql import functions as F
+
+    return settled.withColumn("kind", F.col("kind").bitwiseOR(windows.HOT))
