@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, text_or_empty
+from .common import WORD, checkpointed, text_or_empty
 
 #: Leading hexadecimal digits of a document's place in the shuffled order that the histogram tells apart.
 DIGITS = 3
+#: Sources up to which their targets are broadcast; beyond, they are joined by a shuffle that Spark splits where it is skewed.
+BROADCAST_SOURCES = 100_000
 
 
 def size_of(text: str = "text") -> F.Column:
@@ -56,11 +58,11 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: f
 
 def with_copies(sized: DataFrame, weights: tuple[float, ...], share: float, cap: float) -> DataFrame:
     """sized: (doc_id, source, size, _order, ...). No source is gathered in one task: a histogram over the first digits of the order finds where the fraction ends, and only documents of that one bin are ranked."""
-    bins = sized.groupBy("source", F.substring("_order", 1, DIGITS).alias("_bin")).agg(F.sum("size").alias("_n"))
+    bins = checkpointed(sized.groupBy("source", F.substring("_order", 1, DIGITS).alias("_bin")).agg(F.sum("size").alias("_n")))
     totals = bins.groupBy("source").agg(F.sum("_n").alias("source_size"))
     rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
     weight = F.element_at(F.array(*map(F.lit, weights)), (rank % len(weights) + 1).cast("int"))
-    sources = totals.withColumn("weight", weight)
+    sources = checkpointed(totals.withColumn("weight", weight))
     targets = water_fill(sources, F.lit(share) * F.sum("source_size"), cap)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     whole = F.floor(ratio).cast("long")
@@ -72,7 +74,9 @@ def with_copies(sized: DataFrame, weights: tuple[float, ...], share: float, cap:
     edge = edge.where((F.col("_below") < F.col("_more")) & (F.col("_below") + F.col("_n") >= F.col("_more")) & (F.col("_n") > 0))
     edge = edge.select(F.col("source").alias("_t"), F.col("_bin").alias("_edge"), "_below")
     targets = targets.join(edge, F.col("_s").eqNullSafe(F.col("_t")), "left").drop("_t")
-    at = sized.join(targets, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    targets = checkpointed(targets)
+    small = targets.count() <= BROADCAST_SOURCES
+    at = sized.join(F.broadcast(targets) if small else targets, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     bin_ = F.substring("_order", 1, DIGITS)
     on_edge = at.where(F.coalesce(bin_ == F.col("_edge"), F.lit(False)))
     w = Window.partitionBy("source").orderBy("_order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
