@@ -22,9 +22,10 @@ from .common import buffers, text_or_empty
 #: Random features, kernel width in deviations, ridge penalty a row, bins of the calibration, score from which a text is kept.
 FEATURES, WIDTH, RIDGE, BINS, KEEP = 256, 4.0, 1e-4, 512, 0.3
 #: At most about so many labelled rows are fitted; beyond, those of smallest hashed id, which is the documented bound.
-MOST_ROWS = 500_000
-#: Partial sums are added up in so many groups of rows of the matrix.
-STRIPES = 16
+#: So the labels that are learnt from can be broadcast, and no text moves to meet its label.
+MOST_ROWS = 200_000
+#: The bounded rows are summed in so many parts, and the parts added up in so many groups of rows of the matrix.
+SLICES, STRIPES = 32, 16
 _SEED = 5
 
 #: Classes of bytes: 0 other, 1 lower case, 2 upper case, 3 digit, 4 white space, 5 sentence punctuation, 6 symbol, 7 part of a character beyond ASCII.
@@ -148,8 +149,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
     n = known.count()
     if n > MOST_ROWS:  # a bounded sample, by hash, so that reruns agree
         known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(MOST_ROWS / n * (1 << 30)))
-    rows = docs.select("doc_id", "text").join(known.hint("shuffle_hash"), "doc_id")
-    data = checkpointed(measured(rows, "_label"))
+    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
+    data = checkpointed(measured(rows, "_label")).coalesce(SLICES)
     k = len(STATISTICS)
     at = [F.element_at("x", i + 1) for i in range(k)]
     got = data.agg(F.count("*"), F.avg("label"), *(F.avg(c) for c in at), *(F.stddev_pop(c) for c in at)).first()
