@@ -8,7 +8,7 @@ chain starts, are the key on which candidates meet. They are pruned by the whole
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -164,16 +164,21 @@ def links(nodes: DataFrame) -> DataFrame:
     return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "a long, b long")
 
 
-def _components(docs: DataFrame, shingle: int) -> tuple[DataFrame, DataFrame]:
-    """(doc, fp) of each row, and of each fingerprint (fp, root, least): its component and the least doc in it."""
-    fps = checkpointed(fingerprints(docs, shingle))
+def rooted(fps: DataFrame, linked: DataFrame) -> DataFrame:
+    """Of each fingerprint of fps (doc, fp), (fp, root, least): its component over the edges ``linked`` and shared docs, and the least doc in it."""
     nodes = fps.groupBy("fp").agg(F.min("doc").alias("doc"))
     several = fps.where(F.col("doc") != LAST_ID).groupBy("doc").agg(F.min("fp").alias("b"), F.max("fp").alias("x")).where("b <> x").select("doc", "b")
     shared = fps.join(several.hint("shuffle_hash"), "doc").select(F.col("fp").alias("a"), "b")
-    found = components(links(nodes).unionByName(shared))
-    rooted = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "doc", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("doc").alias("least"))
-    return fps, rooted.join(least, "root").select("fp", "root", "least")
+    found = components(linked.unionByName(shared))
+    of_fp = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "doc", F.coalesce("root", "fp").alias("root"))
+    least = of_fp.groupBy("root").agg(F.min("doc").alias("least"))
+    return of_fp.join(least, "root").select("fp", "root", "least")
+
+
+def _components(docs: DataFrame, shingle: int) -> tuple[DataFrame, DataFrame]:
+    """(doc, fp) of each row, and ``rooted`` over the links of the fingerprints."""
+    fps = checkpointed(fingerprints(docs, shingle))
+    return fps, rooted(fps, links(fps.select("fp").distinct()))
 
 
 def groups(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -192,16 +197,21 @@ def groups(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """The rows of ``docs`` that stand for their group: the one of its smallest doc_id; of rows that share it, one.
+    """The rows of ``docs`` that stand for their group, as ``kept`` chooses them."""
+    fps, of_fp = _components(docs, shingle)
+    return kept(docs, fps, of_fp, lambda text: int(np.array([fingerprint(text, shingle)], U).view(np.int64)[0]))
+
+
+def kept(docs: DataFrame, fps: DataFrame, of_fp: DataFrame, key: Callable[[bytes], int]) -> DataFrame:
+    """The row of each group's smallest doc_id; of rows that share it, one. fps, of_fp: see ``rooted``; key: the fp of a text.
 
     A group without any doc_id keeps one of its rows. Columns of ``docs`` may have any name but _doc, _n, _fp.
     """
-    fps, of_fp = _components(docs, shingle)
     first = checkpointed(fps.join(of_fp, "fp").where((F.col("doc") == F.col("least")) & (F.col("doc") != LAST_ID)).groupBy(F.col("doc").alias("_doc")).agg(F.count("*").alias("_n")))
-    kept = docs.withColumn("_doc", F.col("doc_id").cast("long")).join(first.hint("shuffle_hash"), "_doc").drop("_doc")
-    out = kept.where("_n = 1").drop("_n")
+    named = docs.withColumn("_doc", F.col("doc_id").cast("long")).join(first.hint("shuffle_hash"), "_doc").drop("_doc")
+    out = named.where("_n = 1").drop("_n")
     if not first.where("_n > 1").isEmpty():
-        out = out.unionByName(kept.where("_n > 1").drop("_n").dropDuplicates(["doc_id"]))
+        out = out.unionByName(named.where("_n > 1").drop("_n").dropDuplicates(["doc_id"]))
     if fps.where(F.col("doc") == LAST_ID).isEmpty():
         return out
     # Rows without id are known by their text alone.
@@ -213,8 +223,8 @@ def deduplicated(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.array([fingerprint((t.as_py() or "").encode(), shingle) for t in b.column(at)], U)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fp.view(np.int64))], names=[*columns, "_fp"])
+            fp = [key((t.as_py() or "").encode()) for t in b.column(at)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fp, pa.int64())], names=[*columns, "_fp"])
 
     one = nameless.mapInArrow(add, schema).join(alone, "_fp").dropDuplicates(["_root"]).select(*docs.columns)
     return out.unionByName(one)
