@@ -27,6 +27,8 @@ STOP = frozenset(
 SHORT, LONG = 70, 200
 #: Densities of stop words from which a block reads like text, and is text if long; links beyond LINKS are a menu.
 SOME, MANY, LINKS = 0.30, 0.32, 0.5
+#: Up to this link density a block may be text in any language, whatever its stop words: if long, it is.
+FEW = 0.2
 
 RAW = frozenset("script style noscript template textarea iframe svg canvas title head select button object video audio".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -44,6 +46,8 @@ TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"
 ATTRIBUTE = re.compile(r"""(?i)\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 WORDS = re.compile(r"[^\W\d_]+")
+#: Characters of scripts that write a syllable or a word with each; one counts as three.
+WIDE = re.compile("[\u2e80-\ud7ff\uf900-\ufaff\U00020000-\U0003ffff]")
 
 MAIN, OUTSIDE, EXCLUDED = 1, 0, -1
 GOOD, BAD, OPEN = 1, -1, 0
@@ -181,13 +185,13 @@ def decide(b: Block) -> int:
     density = sum(w in STOP for w in words) / len(words) if words else 0.0
     if b.zone == MAIN:
         return GOOD if size >= SHORT or density >= SOME or b.heading else OPEN
-    if size < SHORT:
+    full = size + 2 * len(WIDE.findall(b.text))
+    if full < SHORT:
         return BAD if b.links else OPEN
-    if density >= MANY:
-        return GOOD if size > LONG else OPEN
-    if density >= SOME:
-        return OPEN
-    return BAD
+    few = b.linked <= FEW * size
+    if density >= MANY or few:
+        return GOOD if full > LONG else OPEN
+    return OPEN if density >= SOME else BAD
 
 
 def main_text(html: str | None) -> str:

@@ -42,3 +42,15 @@ def test_fixture_pages_are_their_article(spark):
         article = re.search(r"(?s)<article>(.*?)</article>", r.html)[1]
         blocks = [" ".join(H.unescape(re.sub(r"<br>", " ", re.sub(r"</?b>", "", b))).split()) for b in re.split(r"</?(?:p|h1)>", article)]
         assert got[r.page_id] == "\n\n".join(filter(None, blocks))
+
+
+def test_pages_without_article_in_other_languages():
+    texts = [
+        "Il museo conserva centinaia di opere antiche, raccolte durante molti secoli da famiglie nobili; ogni stanza racconta una storia diversa, dove pittura, scultura ed architettura dialogano sempre fra loro, offrendo ai visitatori percorsi nuovi.",
+        "Deze stad kreeg vroeg stadsrechten, waarna handelaren overal pakhuizen bouwden; tegenwoordig wonen daar vooral studenten, kunstenaars, gepensioneerden, terwijl oude grachten jaarlijks duizenden bezoekers trekken vanuit heel Europa en verder.",
+        "Музей открыт ежедневно, кроме понедельника; посетители могут увидеть картины, скульптуры, старинные книги, карты, монеты, а также послушать лекции, которые читают известные историки, художники, архитекторы нашего города каждую субботу вечером.",
+        "这座城市有着悠久的历史,许多古老的建筑至今保存完好。游客可以沿着河边散步,参观博物馆,品尝当地的美食。每年春天,这里都会举行盛大的节日活动,吸引来自世界各地的人们前来观看和参加。",
+        "Researchers measured rainfall, temperature, humidity, wind speed plus soil moisture across twelve stations; results showed steady warming since 1970, stronger winters storms, drier summers, earlier harvests, fewer frost days, higher river levels.",
+    ]
+    for t in texts:
+        assert main_text(f'<body><div><a href="/1">Menu</a> <a href="/2">Other</a></div><div><p>{t}</p></div><div><a href="/3">Imprint</a></div></body>') == t
