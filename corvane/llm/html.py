@@ -80,8 +80,8 @@ def marked(attributes: str) -> tuple[bool, bool, bool]:
     return bool(found), found == {"header"}, main
 
 
-def blocks(html: str) -> list[Block]:
-    """All blocks of a page, white space in each made one space. Character references count as what they stand for."""
+def blocks(html: str, marked_articles: bool = False) -> list[Block]:
+    """All blocks of a page, white space in each made one space. With ``marked_articles``, marks don't exclude an outermost article. Character references count as what they stand for."""
     out: list[Block] = []
     parts: list[str] = []
     linked: list[str] = []
@@ -144,7 +144,7 @@ def blocks(html: str) -> list[Block]:
                 bad, as_header, main = marked(m[3]) if m[3] else (False, False, False)
                 if as_header and article:
                     in_header = True
-                elif name in NEVER or (bad and name not in ("body", "html", "article", "main")) or (name == "article" and article and bad):
+                elif name in NEVER or (bad and name not in ("body", "html", "article", "main")) or (name == "article" and bad and (article or not marked_articles)):
                     zone = EXCLUDED
                 elif name == "header":
                     if article:
@@ -194,11 +194,8 @@ def decide(b: Block) -> int:
     return OPEN if density >= SOME else BAD
 
 
-def main_text(html: str | None) -> str:
-    """The main text of a page, its blocks joined by an empty line; empty if there is none."""
-    found = blocks(html or "")
-    if any(b.zone == MAIN for b in found):  # outside of it nothing is main text
-        found = [b for b in found if b.zone == MAIN]
+def labelled(found: list[Block]) -> list[int]:
+    """Both passes: GOOD or BAD for each block."""
     labels = [decide(b) for b in found]
     n = len(found)
     before: list[tuple[int, int]] = []
@@ -211,7 +208,7 @@ def main_text(html: str | None) -> str:
     for i in range(n - 1, -1, -1):
         last = (labels[i], i) if labels[i] != OPEN else last
         after[i] = last
-    kept = []
+    out = []
     for i, b in enumerate(found):
         label = labels[i]
         if label == OPEN:
@@ -223,9 +220,25 @@ def main_text(html: str | None) -> str:
                 label = GOOD if GOOD in (x, y) and (x == y or b.zone == MAIN) else BAD
             else:
                 label = x if near < far else y
-        if label == GOOD:
-            kept.append(b.text)
-    return "\n\n".join(kept)
+        out.append(label)
+    return out
+
+
+def good_text(found: list[Block]) -> str:
+    """The good blocks: of those in an article or main element if they hold most of the good text, else of all."""
+    labels = labelled(found)
+    inside = [b for b in found if b.zone == MAIN]
+    good = [0, 0]
+    for b, label in zip(found, labels, strict=True):
+        good[b.zone == MAIN] += len(b.text) if label == GOOD else 0
+    if inside and good[True] >= good[False]:
+        found, labels = inside, labelled(inside)
+    return "\n\n".join(b.text for b, label in zip(found, labels, strict=True) if label == GOOD)
+
+
+def main_text(html: str | None) -> str:
+    """The main text of a page, its blocks joined by an empty line; empty if there is none. Marked articles are main text only if nothing else is."""
+    return good_text(blocks(html or "")) or good_text(blocks(html or "", True))
 
 
 def extract(pages: DataFrame) -> DataFrame:

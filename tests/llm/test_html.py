@@ -54,3 +54,12 @@ def test_pages_without_article_in_other_languages():
     ]
     for t in texts:
         assert main_text(f'<body><div><a href="/1">Menu</a> <a href="/2">Other</a></div><div><p>{t}</p></div><div><a href="/3">Imprint</a></div></body>') == t
+
+
+def test_teaser_article_does_not_hide_the_body():
+    body = "The river rose for three days, and on the fourth it broke through the wall that the town had built after the flood of the last century. " * 2
+    text = " ".join(body.split())
+    assert main_text(f'<body><article class="hero"><p>A short teaser.</p></article><div><p>{body}</p><p>{body}</p></div></body>').endswith(f"{text}\n\n{text}")
+    assert main_text(f'<body><div><p>{body}</p></div><article class="related"><p>{body}{body}{body}</p></article></body>') == text
+    assert main_text(f'<body><article class="share"><p>{body}</p></article></body>') == text
+    assert main_text(f'<body><article><p>{body}</p><p>{body}</p></article><div><p>{body}</p></div></body>') == f"{text}\n\n{text}"
