@@ -6,8 +6,12 @@ carry a block decision to all aliases that no rule decides, unless the component
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass
+from urllib.parse import urljoin
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +30,7 @@ class Rule:
 
 
 ALLOW, BLOCK = "allow", "block"
+ABSOLUTE = re.compile(r"[a-zA-Z][\w+.-]*://")
 
 
 def lower_ascii(c: Column) -> Column:
@@ -49,15 +54,35 @@ def best_rule(host: Column, path: Column, rules: tuple[Rule, ...]) -> Column:
     return out
 
 
+def resolved(url: str, base: str, target: str) -> str:
+    """The absolute url of a link's target; empty if it has none."""
+    if ABSOLUTE.match(target):
+        return target
+    try:
+        found = urljoin(urljoin(url, base), target)
+    except ValueError:
+        return ""
+    return found if ABSOLUTE.match(found) else ""
+
+
 def page_edges(pages: DataFrame) -> DataFrame:
-    """(a, b) urls: a page and the absolute target of its canonical link or of its refresh redirect."""
-    attr = r"""\s*=\s*["']?\s*([a-zA-Z][\w+.-]*://[^"'\s>]+)"""
+    """(a, b) urls: a page and the target of its canonical link or of its refresh redirect, relative ones resolved against the page's base."""
+    value = r"""\s*=\s*["']?\s*([^"'\s>]+)"""
+    href = r"(?<![\w-])href" + value
     tag = lambda name: F.regexp_extract_all("html", F.lit(rf"(?i)<{name}\b[^>]*>"), F.lit(0))
-    canonical = F.transform(F.filter(tag("link"), lambda t: t.rlike(r"""(?i)\brel\s*=\s*["']?canonical\b""")), lambda t: F.regexp_extract(t, r"(?i)\bhref" + attr, 1))
-    refresh = F.transform(F.filter(tag("meta"), lambda t: t.rlike(r"""(?i)\bhttp-equiv\s*=\s*["']?refresh\b""")), lambda t: F.regexp_extract(t, r"""(?i)\burl""" + attr, 1))
+    canonical = F.transform(F.filter(tag("link"), lambda t: t.rlike(r"""(?i)\brel\s*=\s*["']?canonical\b""")), lambda t: F.regexp_extract(t, "(?i)" + href, 1))
+    refresh = F.transform(F.filter(tag("meta"), lambda t: t.rlike(r"""(?i)\bhttp-equiv\s*=\s*["']?refresh\b""")), lambda t: F.regexp_extract(t, r"(?i)\burl" + value, 1))
+    base = F.regexp_extract("html", r"(?i)<base\b[^>]*?" + href, 1)
     has = F.lower("html").contains("canonical") | F.lower("html").contains("refresh")
-    found = pages.where("url is not null and html is not null").where(has).select(F.col("url").alias("a"), F.explode(F.concat(canonical, refresh)).alias("b"))
-    return found.where("b <> ''").select("a", F.replace("b", F.lit("&amp;"), F.lit("&")).alias("b"))
+    found = pages.where("url is not null and html is not null").where(has).select(F.col("url").alias("a"), base.alias("base"), F.explode(F.concat(canonical, refresh)).alias("b"))
+    plain = lambda c: F.replace(c, F.lit("&amp;"), F.lit("&")).alias(c)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            b = [resolved(*row) for row in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(b, pa.string())], names=["a", "b"])
+
+    return found.where("b <> ''").select("a", plain("base"), plain("b")).mapInArrow(run, "a string, b string").where("b <> ''")
 
 
 def judge(pages: DataFrame, edges: DataFrame, rules: tuple[Rule, ...], default: str = ALLOW) -> DataFrame:

@@ -60,3 +60,20 @@ def test_sql_agrees_where_pages_link(spark, tmp_path):
 def test_empty_table(spark):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert urls.judge(pages, urls.page_edges(pages), RULES).collect() == []
+
+
+def test_relative_targets(spark):
+    refresh = lambda u: f'<meta http-equiv="refresh" content="0; url={u}">'
+    rows = [
+        (1, "http://example.com/old", refresh("/de/new")),
+        (2, "https://a.io/x", '<link rel="canonical" href="//spam.net/a">'),
+        (3, "http://example.com/a/b", '<link rel=canonical href="../de/x?a=1&amp;b=2">'),
+        (4, "http://a.io/4", '<base href="http://example.com/de/">' + refresh("y")),
+        (5, "http://a.io/5", refresh("mailto:x") + '<link rel="canonical" href="http://[/">'),
+        (6, "no scheme", refresh("/de/new")),
+    ]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    edges = {(r.a, r.b) for r in urls.page_edges(pages).collect()}
+    assert {b for _, b in edges} == {"http://example.com/de/new", "https://spam.net/a", "http://example.com/de/x?a=1&b=2", "http://example.com/de/y", "http://[/"}
+    got = {r.page_id: r.verdict for r in urls.judge(pages, urls.page_edges(pages), RULES).collect()}
+    assert got == {1: "block", 2: "block", 3: "block", 4: "block", 5: "allow", 6: "allow"}
