@@ -673,7 +673,7 @@ def jsonl_scan(spark, sf_dir):
 )
 def payload(spark, sf_dir):
     """The payload of a page's first chunk: the page's columns and the chunk's, without a join."""
-    p = pages(spark, sf_dir).where("title <> ''").withColumns({"author": F.lit(""), "labels": F.array().cast("array<string>"), "last_modified": F.lit("old"), "url": F.concat(F.lit("https://wiki.example/display/"), F.col("page_id")), "content_hash": T.content_hash(F.col("title"), F.col("text"))})
+    p = pages(spark, sf_dir).withColumns({"author": F.lit(""), "labels": F.array().cast("array<string>"), "last_modified": F.lit("old"), "url": F.concat(F.lit("https://wiki.example/display/"), F.col("page_id")), "content_hash": T.content_hash(F.col("title"), F.col("text"))})
     crumb = T.breadcrumb(F.col("space_key"), F.array().cast("array<string>"), F.col("title"))
     chunks = p.withColumns({"chunk_id": T.chunk_id(F.col("page_id"), F.lit(0)), "breadcrumb": crumb, "text": T.chunk_text(crumb, F.col("text"))})
     made = I.points(chunks, lambda text: F.array().cast("array<float>"))

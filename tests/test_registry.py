@@ -48,3 +48,10 @@ def test_without_the_pipeline_subpackage(tmp_path):
     shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'bm25_search' in q and not any(n.startswith('op') for n in q) and 'pipeline' not in q"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
+
+
+def test_payload_of_pages_without_title(spark, tmp_path):
+    rows = [(1, "\nbody", "s"), (2, None, "s"), (3, "T\nx", "s")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "'en' as lang", "1L as n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.page_id: r for r in registry.queries()["payload"](spark, str(tmp_path)).collect()}
+    assert set(got) == {"1", "2", "3"} and got["1"].breadcrumb == "s" and got["3"].breadcrumb == "s > T"
