@@ -54,8 +54,11 @@ def main(args: list[str] | None = None, engine: Engine | None = None) -> int:
         log.info("%s", counted)
         return int(counted["errors"] > 0)
     if a.command == "evaluate":
-        for row in engine.evaluate(read_jsonl(engine.spark, a.dataset), a.k, a.top_k).collect():
+        rows, misses = engine.evaluate(read_jsonl(engine.spark, a.dataset), a.k, a.top_k)
+        for row in rows.collect():
             print(f"reranker {row['reranker']}: hit rate@{a.k} {row['hit_rate']:.3f}, MRR {row['mrr']:.3f}")
+        for row in misses.orderBy("reranker", "qid").toLocalIterator():
+            print(f"missed, reranker {row['reranker']}: rank {row['first'] or '-'}: {row['question']} (wanted {', '.join(row['gold_page_ids'])})")
         return 0
     from .service import serve
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import blank, strip
+from ..sources.files import materialised
 
 # The refusal decides gates, the prompt states the rules that the answers follow.
 NO_CONTEXT = "Ich kann diese Frage anhand der verfügbaren Dokumentation nicht beantworten."
@@ -26,11 +27,15 @@ Generate = Callable[[Column, Column], Column]
 CITATION = "struct<title:string,url:string,last_modified:string,page_id:string>"
 
 
+def source_line() -> Column:
+    """A source (rank, title, url, text) as it stands in the prompt."""
+    return F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] Titel: "), blank(F.col("title")), F.lit(" | URL: "), blank(F.col("url")), F.lit("\n"), blank(F.col("text")))
+
+
 def source_blocks(sources: DataFrame) -> DataFrame:
     """sources (qid, rank, title, url, text): (qid, n, context), the sources numbered in order of rank."""
-    line = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] Titel: "), blank(F.col("title")), F.lit(" | URL: "), blank(F.col("url")), F.lit("\n"), blank(F.col("text")))
-    listed = sources.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))).alias("x"))
-    return listed.select("qid", F.size("x").alias("n"), F.array_join(F.transform("x", lambda s: s["line"]), SOURCE_SEPARATOR).alias("context"))
+    lines = sources.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", source_line().alias("line")))).alias("x"))
+    return lines.select("qid", F.size("x").alias("n"), F.array_join(F.transform("x", lambda s: s["line"]), SOURCE_SEPARATOR).alias("context"))
 
 
 def user_message(question: Column, context: Column) -> Column:
@@ -43,25 +48,43 @@ def messages(question: Column, context: Column) -> Column:
     return F.array(message("system", F.lit(SYSTEM_PROMPT)), message("user", user_message(question, context)))
 
 
+def marker_numbers(text: Column) -> Column:
+    """array<struct<place, n>> of the source markers in an answer, in order; a number beyond an int cites nothing."""
+    found = F.regexp_extract_all(text, F.lit(MARKER), F.lit(1))
+    return F.transform(found, lambda d, i: F.struct(i.alias("place"), d.try_cast("int").alias("n")))
+
+
 def markers(answers: DataFrame) -> DataFrame:
-    """(qid, place, n) of the source markers in each answer, in order."""
-    found = F.regexp_extract_all("answer", F.lit(MARKER), F.lit(1))
-    rows = answers.select("qid", F.posexplode(found).alias("place", "digits"))
-    return rows.select("qid", "place", F.expr("try_cast(digits as int)").alias("n"))
+    """(qid, place, n) of the source markers in each answer."""
+    return answers.select("qid", F.explode(marker_numbers(F.col("answer"))).alias("m")).select("qid", "m.place", "m.n")
 
 
-def citations(answers: DataFrame, sources: DataFrame) -> DataFrame:
-    """(qid, place, page_id, title, url, last_modified): the cited pages, each once, in order of first mention.
+_CITED = "array<struct<place:int,page_id:string,title:string,url:string,last_modified:string>>"
+
 
-    Markers beyond the sources cite nothing; an answer without any marker cites all its sources. answers: (qid, answer).
+def cited(text: Column, sources: Column) -> Column:
+    """The cited pages of one answer, each once, in order of first mention: _CITED.
+
+    sources: array of structs with rank, page_id, title, url, last_modified. Markers beyond them cite nothing; an answer
+    without any marker cites them all. All is an expression over the row, so an answer is used where it was made.
     """
-    m = markers(answers)
-    cited = m.select("qid", "place", F.col("n").alias("rank"))
-    silent = answers.select("qid").join(m.select("qid").distinct(), "qid", "left_anti")
-    every = sources.join(silent, "qid", "left_semi").select("qid", F.col("rank").alias("place"), "rank")
-    hit = cited.unionByName(every).join(sources.select("qid", "rank", "page_id", "title", "url", "last_modified"), ["qid", "rank"])
-    first = hit.groupBy("qid", "page_id").agg(F.min(F.struct("place", "title", "url", "last_modified")).alias("f"))
-    return first.select("qid", "f.place", "page_id", "f.title", "f.url", "f.last_modified")
+    hit = lambda place, s: F.struct(place.cast("int").alias("place"), s["page_id"].alias("page_id"), s["title"].alias("title"), s["url"].alias("url"), s["last_modified"].alias("last_modified"))
+    marks = marker_numbers(text)
+    named = F.flatten(F.transform(marks, lambda m: F.transform(F.filter(sources, lambda s: s["rank"] == m["n"]), lambda s: hit(m["place"], s))))
+    every = F.transform(sources, lambda s: hit(s["rank"], s))
+    rows = F.when(F.size(marks) > 0, named).otherwise(every).cast(_CITED)
+    return F.aggregate(rows, F.array().cast(_CITED), lambda seen, r: F.when(F.exists(seen, lambda x: x["page_id"].eqNullSafe(r["page_id"])), seen).otherwise(F.array_append(seen, r)))
+
+
+def listed(sources: DataFrame) -> DataFrame:
+    """(qid, sources): the few sources of a question that passed the gate, in order of rank."""
+    return sources.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "page_id", "title", "url", "last_modified"))).alias("sources"))
+
+
+def citations(answers: DataFrame, sources: DataFrame) -> DataFrame:
+    """(qid, place, page_id, title, url, last_modified): the cited pages of answers (qid, answer)."""
+    rows = answers.join(listed(sources), "qid").select("qid", F.explode(cited(F.col("answer"), F.col("sources"))).alias("c"))
+    return rows.select("qid", "c.place", "c.page_id", "c.title", "c.url", "c.last_modified")
 
 
 def gated(text: Column) -> Column:
@@ -72,23 +95,25 @@ def gated(text: Column) -> Column:
 
 def quoting(question: Column, context: Column) -> Column:
     """The default generator, for use without a model: the first source's first line of text, cited."""
-    line = F.regexp_extract(context, r"(?s)^\[1\][^\n]*\n\s*([^\n]{1,300})", 1)
+    line = F.regexp_extract(context, r"(?s)^\[1\][^\n]*\n\s*([^\n]+)", 1)
     return F.when(line != "", F.concat(line, F.lit(" [1]"))).otherwise(F.lit(""))
 
 
 def answer(questions: DataFrame, sources: DataFrame, generate: Generate = quoting) -> DataFrame:
     """(qid, question, answer, citations, used_context) of each question with a text.
 
-    Questions without sources get the refusal and never reach the generator: they are split off before it, as a
-    condition around a Python function would not keep it from running.
+    Questions and their sources are written once. Those without sources get the refusal and never reach the generator: they
+    are split off before it, as a condition around a Python function would not keep it from running. The generator runs
+    once a question; its citations come from the same row.
     """
-    asked = questions.where(F.trim("question") != "")
-    blocks = source_blocks(sources)
-    told = asked.join(blocks, "qid").select("qid", "question", gated(generate(F.col("question"), F.col("context"))).alias("answer"))
-    good = told.where(F.col("answer") != NO_CONTEXT)
-    listed = citations(good, sources).groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("place", "title", "url", "last_modified", "page_id"))).alias("c"))
+    line = source_line()
+    found = sources.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "page_id", "title", "url", "last_modified", line.alias("line")))).alias("sources"))
+    asked = materialised(questions.where(strip(blank(F.col("question"))) != "").select("qid", "question").join(found, "qid", "left"))
+    context = F.array_join(F.transform("sources", lambda s: s["line"]), SOURCE_SEPARATOR)
+    told = asked.where("sources is not null").withColumn("answer", gated(generate(F.col("question"), context)))
     none = F.array().cast(f"array<{CITATION}>")
-    cited = F.coalesce(F.transform("c", lambda c: F.struct(c["title"].alias("title"), c["url"].alias("url"), c["last_modified"].alias("last_modified"), c["page_id"].alias("page_id"))), none)
-    answered = told.join(listed, "qid", "left").select("qid", "question", "answer", F.when(F.col("answer") == NO_CONTEXT, none).otherwise(cited).alias("citations"), (F.col("answer") != NO_CONTEXT).alias("used_context"))
-    bare = asked.join(blocks.select("qid"), "qid", "left_anti").select("qid", "question", F.lit(NO_CONTEXT).alias("answer"), none.alias("citations"), F.lit(False).alias("used_context"))
+    good = F.col("answer") != NO_CONTEXT
+    named = F.transform(cited(F.col("answer"), F.col("sources")), lambda c: F.struct(c["title"].alias("title"), c["url"].alias("url"), c["last_modified"].alias("last_modified"), c["page_id"].alias("page_id")))
+    answered = told.select("qid", "question", "answer", F.when(good, named).otherwise(none).alias("citations"), good.alias("used_context"))
+    bare = asked.where("sources is null").select("qid", "question", F.lit(NO_CONTEXT).alias("answer"), none.alias("citations"), F.lit(False).alias("used_context"))
     return answered.unionByName(bare)

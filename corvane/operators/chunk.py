@@ -69,28 +69,29 @@ def chunk_pages(pages: DataFrame, max_tokens: int = MAX_TOKENS, hard_max_tokens:
     runs = pages.select(*rest, F.posexplode(units(F.col(blocks), F.col("breadcrumb"))).alias("unit", "u"))
     cut = runs.select(*rest, "unit", "u", ((u["kind"] != "text") & fits).alias("whole"), F.posexplode(pieces).alias("piece", "body"))
     cut = cut.where(F.trim(F.regexp_replace("body", r"(?U)\s", "")) != "")
-    ordinal = F.row_number().over(Window.partitionBy("page_id").orderBy("unit", "piece")) - 1
-    cut = cut.withColumn("ordinal", ordinal)
+    cut = numbered(cut, "unit", "piece")
     text = T.chunk_text(u["path"], F.col("body"))
-    return cut.select(*rest, "ordinal", T.chunk_id(F.col("page_id"), F.col("ordinal")).alias("chunk_id"), u["path"].alias("breadcrumb"), text.alias("text"), count(text).alias("token_count"), u["kind"].alias("kind"), "whole")
+    return cut.select(*rest, "ordinal", "chunk_id", u["path"].alias("breadcrumb"), text.alias("text"), count(text).alias("token_count"), u["kind"].alias("kind"), "whole")
+
+
+def numbered(pieces: DataFrame, *order: str) -> DataFrame:
+    """Add ordinal, which counts the pieces of a page from 0, and chunk_id."""
+    out = pieces.withColumn("ordinal", F.row_number().over(Window.partitionBy("page_id").orderBy(*order)) - 1)
+    return out.withColumn("chunk_id", T.chunk_id(F.col("page_id"), F.col("ordinal")))
 
 
 def heading_paths(blocks: DataFrame) -> DataFrame:
     """The heading path of each row of a blocks table (page_id, pos, kind, text, level), for tables too large a page for one row.
 
-    A heading is open if no later one up to here has a lower or equal level; windows find the last of each level, and
-    a join its text.
+    A heading is open if no later one up to here has a lower level. One window over the page finds the last heading of
+    each level, with its text, and the last of all lower levels; nothing is joined.
     """
     w = Window.partitionBy("page_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    is_level = lambda test: F.max(F.when((F.col("kind") == "heading") & test, F.col("pos"))).over(w)
-    out = blocks
-    for n in range(1, 5):
-        out = out.withColumn(f"_p{n}", is_level(F.col("level") == n)).withColumn(f"_a{n}", is_level(F.col("level") < n))
-    heads = blocks.where("kind = 'heading'")
-    for n in range(1, 5):
-        alive = F.when(F.col(f"_p{n}") > F.coalesce(F.col(f"_a{n}"), F.lit(-1)), F.col(f"_p{n}"))
-        h = heads.where(F.col("level") == n).select(F.col("page_id").alias("_page"), F.col("pos").alias("_pos"), F.col("text").alias(f"_h{n}"))
-        out = out.join(h, (F.col("page_id") == F.col("_page")) & (alive == F.col("_pos")), "left").drop("_page", "_pos")
-    path = T.join_filled(F.array(*(F.col(f"_h{n}") for n in range(1, 5))), T.BREADCRUMB_SEPARATOR)
+    heading = F.col("kind") == "heading"
+    last = lambda test, value: F.last(F.when(heading & test, value), ignorenulls=True).over(w)
+    level = F.col("level")
+    found = {f"_h{n}": last(level == n, F.struct("pos", "text")) for n in range(1, 5)} | {f"_a{n}": last(level < n, F.col("pos")) for n in range(2, 5)}
     segment = F.sum(F.when(F.col("kind") != "text", 1).otherwise(0)).over(w)
-    return out.select("page_id", "pos", "kind", path.alias("path"), segment.alias("segment"))
+    out = blocks.select("page_id", "pos", "kind", segment.alias("segment"), *(c.alias(name) for name, c in found.items()))
+    open_ = [F.when(F.col(f"_h{n}.pos") > (F.coalesce(F.col(f"_a{n}"), F.lit(-1)) if n > 1 else F.lit(-1)), F.col(f"_h{n}.text")) for n in range(1, 5)]
+    return out.select("page_id", "pos", "kind", T.join_filled(F.array(*open_), T.BREADCRUMB_SEPARATOR).alias("path"), "segment")

@@ -12,11 +12,16 @@ def page_ranks(results: DataFrame) -> DataFrame:
     return first.select("qid", "page_id", F.row_number().over(Window.partitionBy("qid").orderBy("_first", "page_id")).alias("rank"))
 
 
+def first_hit(pages: DataFrame, questions: DataFrame) -> DataFrame:
+    """(qid, first): of pages (qid, rank, gold), the rank of the first gold one for each question, 0 if there is none."""
+    hit = pages.where("gold").groupBy("qid").agg(F.min("rank").alias("first"))
+    return questions.select("qid").join(hit, "qid", "left").select("qid", F.coalesce("first", F.lit(0)).alias("first"))
+
+
 def first_gold(pages: DataFrame, questions: DataFrame) -> DataFrame:
-    """(qid, first): the rank of the first gold page of each question (qid, gold_page_ids), 0 if there is none."""
+    """``first_hit`` where questions (qid, gold_page_ids) name their gold pages."""
     gold = questions.select("qid", F.explode("gold_page_ids").alias("page_id")).distinct()
-    hit = pages.join(gold, ["qid", "page_id"]).groupBy("qid").agg(F.min("rank").alias("first"))
-    return questions.select("qid").join(hit, "qid", "left").select("qid", F.coalesce("first", F.lit(0)).alias("first"))
+    return first_hit(pages.join(gold, ["qid", "page_id"]).withColumn("gold", F.lit(True)), questions)
 
 
 def metrics(firsts: DataFrame, k: int = 5) -> DataFrame:
@@ -26,4 +31,10 @@ def metrics(firsts: DataFrame, k: int = 5) -> DataFrame:
 
 
 def misses(firsts: DataFrame, k: int = 5) -> DataFrame:
+    """The questions whose first gold page is beyond rank k, or nowhere."""
     return firsts.where((F.col("first") == 0) | (F.col("first") > k))
+
+
+def all_ok(checks: DataFrame, by: str) -> DataFrame:
+    """Of checks (by, state), whether each group's are all ok; the engine's health is such a group."""
+    return checks.groupBy(by).agg(F.every(F.col("state") == "ok").alias("ok"))

@@ -6,11 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .parse import body_text
+from .parse import read_text
 
 
-def extract_pages(raw: DataFrame, base_url: str = "", to_text=body_text) -> DataFrame:
-    """raw: the schema RAW_PAGE. Missing values become empty strings and arrays. to_text: html column to text column."""
+def extract_pages(raw: DataFrame, base_url: str = "", read=read_text) -> DataFrame:
+    """raw: the schema RAW_PAGE, and error and restricted if the source tells them. Missing values become empty strings and arrays.
+
+    read: html column to struct<text, error>. error: what went wrong with a page, null if nothing did.
+    """
     labels = T.names(F.col("metadata.labels.results"), "name")
     ancestors = T.names(F.col("ancestors"), "title")
     base = F.when(T.blank(F.col("_links.base")) != "", F.col("_links.base")).otherwise(F.lit(base_url))
@@ -24,9 +27,12 @@ def extract_pages(raw: DataFrame, base_url: str = "", to_text=body_text) -> Data
         T.blank(F.col("version.when")).alias("last_modified"),
         ancestors.alias("ancestors"),
         T.blank(F.col("body.view.value")).alias("body_html"),
+        *(c for c in ("error", "restricted") if c in raw.columns),
     )
     crumb = T.breadcrumb(F.col("space_key"), F.col("ancestors"), F.col("title"))
-    with_text = flat.withColumn("breadcrumb", crumb).withColumn("text", to_text(F.col("body_html")))
+    parsed = flat.withColumn("breadcrumb", crumb).withColumn("_read", read(F.col("body_html")))
+    before = [F.col("error")] if "error" in raw.columns else []
+    with_text = parsed.withColumn("error", F.coalesce(*before, F.col("_read.error"))).withColumn("text", T.blank(F.col("_read.text"))).drop("_read")
     return with_text.withColumn("content_hash", T.content_hash(F.col("title"), F.col("text")))
 
 
@@ -42,3 +48,10 @@ def restricted_pages(restrictions: DataFrame) -> DataFrame:
     user = F.when(inner, F.col("restrictions.user")).otherwise(F.col("user"))
     group = F.when(inner, F.col("restrictions.group")).otherwise(F.col("group"))
     return restrictions.where(restricted(user, group)).select("page_id").distinct()
+
+
+def is_restricted(answer: Column) -> Column:
+    """Whether a source's answer about a page's read restrictions (JSON) names anybody; null if there is no answer."""
+    inner = answer["restrictions"].isNotNull()
+    sets = (F.when(inner, answer["restrictions"][name]).otherwise(answer[name]) for name in ("user", "group"))
+    return F.when(answer.isNotNull(), restricted(*sets))

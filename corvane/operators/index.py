@@ -18,7 +18,7 @@ from .chunk import HARD_MAX_TOKENS, MAX_TOKENS, chunk_pages
 from .parse import block_list
 
 Embed = Callable[[Column], Column]
-POINT_COLUMNS = ("id", "page_id", "chunk_id", "space_key", "title", "breadcrumb", "url", "labels", "author", "last_modified", "content_hash", "text", "dense")
+POINT_COLUMNS = ("id", "page_id", "chunk_id", "space_key", "title", "breadcrumb", "url", "labels", "author", "last_modified", "content_hash", "text", "dense", "n_terms", "terms", "tfs")
 
 
 def hashing_embedding(dim: int = 64) -> Embed:
@@ -51,9 +51,19 @@ def chunks_of(pages: DataFrame, max_tokens: int = MAX_TOKENS, hard_max_tokens: i
 
 
 def points(chunks: DataFrame, embed: Embed) -> DataFrame:
-    """Chunks with their page's columns to index points."""
+    """Chunks with their page's columns to index points: a dense vector, and the sparse one, the text's terms and how often each stands there."""
     made = chunks.withColumn("id", T.point_id(F.col("chunk_id"))).withColumn("dense", embed(F.col("text")))
-    return made.select(*POINT_COLUMNS)
+    return with_sparse(made).select(*POINT_COLUMNS)
+
+
+def with_sparse(texts: DataFrame, text: str = "text") -> DataFrame:
+    """Add n_terms, the distinct terms in order, and tfs, their counts. A sorted list is cut where its term changes, so no row is shuffled or exploded."""
+    out = texts.withColumn("_t", F.array_sort(T.terms(F.col(text))))
+    first = F.filter(F.sequence(F.lit(1), F.size("_t")), lambda i: (i == 1) | (F.element_at("_t", i) != F.element_at("_t", F.greatest(i - 1, F.lit(1)))))
+    out = out.withColumn("n_terms", F.size("_t")).withColumn("_f", F.when(F.size("_t") > 0, first).otherwise(F.array().cast("array<int>")))
+    ends = F.slice(F.array_append("_f", F.col("n_terms") + 1), 2, F.size("_f"))
+    tfs = F.when(F.size("_f") > 0, F.zip_with("_f", ends, lambda a, b: b - a)).otherwise(F.array().cast("array<int>"))
+    return out.withColumn("terms", F.transform("_f", lambda i: F.element_at("_t", i))).withColumn("tfs", tfs).drop("_t", "_f")
 
 
 def replaced(index: DataFrame, pages: DataFrame, new_points: DataFrame) -> DataFrame:

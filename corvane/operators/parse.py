@@ -182,12 +182,34 @@ def body_text(html: Column) -> Column:
     return texts(html)
 
 
+def read_text(html: Column) -> Column:
+    """struct<text, error>: text_of, or what kept a page from being parsed; one bad page ends nothing."""
+
+    def one(h: str | None) -> tuple[str | None, str | None]:
+        try:
+            return text_of(h), None
+        except Exception as failure:
+            return None, f"parse: {type(failure).__name__}: {failure}"
+
+    @pandas_udf("struct<text:string,error:string>")
+    def texts(h: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([one(x) for x in h], columns=["text", "error"], dtype=object)
+
+    return texts(html)
+
+
 def block_list(html: Column) -> Column:
-    """blocks_of as a column."""
+    """blocks_of as a column; null for a page that can't be parsed."""
+
+    def one(h: str | None) -> list[dict] | None:
+        try:
+            return blocks_of(h)
+        except Exception:
+            return None
 
     @pandas_udf(BLOCKS)
     def lists(h: pd.Series) -> pd.Series:
-        return h.map(blocks_of)
+        return h.map(one)
 
     return lists(html)
 

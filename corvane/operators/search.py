@@ -1,21 +1,32 @@
-"""Hybrid retrieval for batches of questions: BM25 and vectors, fused by reciprocal rank."""
+"""Hybrid retrieval for batches of questions: BM25 and vectors, fused by reciprocal rank.
+
+Both legs leave the corpus where it is. A block of questions, whose size is bounded, goes to all tasks; a task scores its
+rows against the whole block with numpy and passes on the best of each question, so that what is shuffled is k rows a
+question and batch, however common a term is and however large the corpus.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.vectors import cosine
-from .index import lengths, postings, term_stats
+from ..sources.files import materialised
+from .index import with_sparse
 
 TOP_K = 20
 #: Published defaults: Okapi BM25 and reciprocal rank fusion.
 K1, B, RRF_K = 1.2, 0.75, 60
-#: Questions that meet all vectors at a time; the block is what is broadcast, so its size is fixed.
-QUESTION_BLOCK = 4096
+#: Questions that meet the corpus at a time, and characters or vector components that they hold at most, unless one question alone holds more.
+QUESTION_BLOCK, QUESTION_SIZE = 4096, 1 << 24
+#: Rows of the corpus that a task scores at a time.
+SCORED = 2048
 
 
 def in_spaces(rows: DataFrame, spaces: list[str] | None) -> DataFrame:
@@ -29,44 +40,154 @@ def ranked(scored: DataFrame, k: int, key: str, by: str = "qid") -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def bm25(questions: DataFrame, texts: DataFrame, k: int | None = TOP_K, key: str = "chunk_id", text: str = "text", digits: int | None = None) -> DataFrame:
-    """questions (qid, question), texts (key, text): (qid, key, score, rank).
+def question_blocks(questions: DataFrame, size: str) -> Iterator[list[Row]]:
+    """The questions in blocks of QUESTION_BLOCK rows, and of QUESTION_SIZE by the column ``size``, one block at a time on the driver."""
+    block: list[Row] = []
+    held = 0
+    for row in questions.toLocalIterator():
+        if block and (len(block) >= QUESTION_BLOCK or held + row[size] > QUESTION_SIZE):
+            yield block
+            block, held = [], 0
+        block.append(row)
+        held += row[size]
+    if block:
+        yield block
+
+
+def best_of(scores: np.ndarray, k: int, margin: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row, question) of the k best rows of each column, and of all that come within the margin of the k-th; rows of -inf never."""
+    n = len(scores)
+    least = np.partition(scores, n - k, axis=0)[n - k] - margin if n > k else np.full(scores.shape[1], -np.inf)
+    return np.nonzero((scores >= least) & np.isfinite(scores))
+
+
+def found_rows(key: pa.Array, i: np.ndarray, j: np.ndarray, scores: np.ndarray, qids: pa.Array, names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([qids.take(pa.array(j)), key.take(pa.array(i)), pa.array(scores[i, j])], names=names)
 
-    Only postings of terms that questions hold are kept before anything is shuffled by key. The length of a text
-    stands in its postings, so no join brings it; the totals are two numbers, computed in the same scan.
-    """
-    asked = questions.select("qid", F.explode(F.array_distinct(T.terms(F.col("question")))).alias("term"))
-    tokens = texts.select(key, T.terms(F.col(text)).alias("tokens"))
-    total = tokens.agg(F.count("*").alias("_n"), F.avg(F.size("tokens")).alias("_mean"))
-    found = tokens.select(key, F.size("tokens").alias("n"), F.explode("tokens").alias("term"))
-    found = found.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term", key, "n").agg(F.count("*").alias("tf"))
-    df = found.groupBy("term").agg(F.count("*").alias("df"))
-    joined = asked.join(df, "term").join(F.broadcast(total)).join(found, "term")  # total is one row
-    idf = F.log1p((F.col("_n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n") / F.col("_mean")))
-    score = F.sum(weight)
-    scored = joined.groupBy("qid", key).agg((F.round(score, digits) if digits else score).alias("score"))
-    return ranked(scored, k or TOP_K, key)
 
+def types_of(questions: DataFrame, rows: DataFrame, key: str) -> tuple[str, pa.DataType]:
+    from pyspark.sql.pandas.types import to_arrow_type
 
-def question_blocks(questions: DataFrame) -> list[DataFrame]:
-    """Questions cut by hash so that each block holds about QUESTION_BLOCK rows; one block is the usual case."""
-    n = -(-questions.count() // QUESTION_BLOCK)
-    return [questions] if n <= 1 else [questions.where(F.pmod(F.xxhash64("qid"), F.lit(n)) == i) for i in range(n)]
+    qid = questions.schema["qid"].dataType
+    return f"qid {qid.simpleString()}, `{key}` {rows.schema[key].dataType.simpleString()}, score double", to_arrow_type(qid)
 
 
-def dense(questions: DataFrame, vectors: DataFrame, k: int | None = TOP_K, key: str = "chunk_id", vector: str = "dense", digits: int | None = None, other: Column | None = None) -> DataFrame:
-    """questions (qid, qvec), vectors (key, vector): (qid, key, score, rank) by exact cosine.
+def rounded(score: F.Column, digits: int | None) -> F.Column:
+    return F.round(score, digits) if digits else score
 
-    Each block of questions goes to the vectors, which stay where they are; a task keeps its k best per question.
-    other: a condition that a pair must meet.
+
+def bm25(questions: DataFrame, texts: DataFrame, k: int | None = TOP_K, key: str = "chunk_id", text: str = "text", digits: int | None = None) -> DataFrame:
+    """questions (qid, question), texts (key, text): (qid, key, score, rank) of those that share a term.
+
+    texts may hold the sparse vectors of the index (n_terms, terms, tfs); else they are made here. The corpus is read twice a
+    block of questions: once for its size and how many texts hold each asked term, sums of a size that the block bounds,
+    and once to score.
     """
+    k = k or TOP_K
+    sparse = texts if {"n_terms", "terms", "tfs"} <= set(texts.columns) else with_sparse(texts, text)
+    sparse = sparse.select(key, "n_terms", "terms", "tfs")
+    asked = questions.select("qid", F.array_distinct(T.terms(F.col("question"))).alias("terms"), F.coalesce(F.char_length("question"), F.lit(0)).alias("size"))
+    schema, qid_type = types_of(questions, texts, key)
+    margin = 10.0**-digits if digits else 0.0
     parts = []
-    for block in question_blocks(questions):
-        pairs = vectors.select(key, F.col(vector).alias("_v")).join(F.broadcast(block.select("qid", "qvec")), on=other if other is not None else F.lit(True))
-        score = cosine(F.col("qvec"), F.col("_v"))
-        parts.append(ranked(pairs.select("qid", key, (F.round(score, digits) if digits else score).alias("score")).where("score is not null"), k or TOP_K, key))
-    return reduce(DataFrame.unionByName, parts)
+    for block in question_blocks(asked, "size"):
+        vocabulary = pa.array(sorted({t for q in block for t in q.terms}), pa.string())
+        qids = pa.array([q.qid for q in block], qid_type)
+        n_questions, n_terms = len(block), len(vocabulary)
+        in_question = pc.index_in(pa.array([t for q in block for t in q.terms], pa.string()), vocabulary).to_numpy(zero_copy_only=False)
+        of_question = np.repeat(np.arange(n_questions), [len(q.terms) for q in block])
+        by_term = np.argsort(in_question, kind="stable")
+        asking, at = of_question[by_term], np.searchsorted(in_question[by_term], np.arange(n_terms + 1))
+
+        def known(batch: pa.RecordBatch, vocabulary=vocabulary) -> tuple[np.ndarray, ...]:
+            """(text, term, tf) of the asked terms in a batch."""
+            terms, tfs = batch.column(2), batch.column(3)
+            term = pc.index_in(terms.flatten(), vocabulary).fill_null(-1).to_numpy()
+            which = np.repeat(np.arange(batch.num_rows), np.diff(terms.offsets.to_numpy()))
+            hit = term >= 0
+            return which[hit], term[hit], tfs.flatten().to_numpy()[hit]
+
+        def count(batches: Iterator[pa.RecordBatch], known=known, n_terms=n_terms) -> Iterator[pa.RecordBatch]:
+            held = np.zeros(n_terms + 2, np.int64)
+            for batch in batches:
+                held[:n_terms] += np.bincount(known(batch)[1], minlength=n_terms)
+                held[n_terms] += batch.num_rows
+                held[n_terms + 1] += batch.column(1).to_numpy().sum()
+            i = np.flatnonzero(held)
+            yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(held[i])], names=["i", "n"])
+
+        df = np.zeros(n_terms + 2, np.int64)
+        for r in sparse.mapInArrow(count, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).collect():
+            df[r.i] = r.n
+        n_texts, mean = int(df[n_terms]), df[n_terms + 1] / max(1, df[n_terms])
+        idf = np.log1p((n_texts - df[:n_terms] + 0.5) / (df[:n_terms] + 0.5))
+
+        def score(batches: Iterator[pa.RecordBatch], known=known, asking=asking, at=at, idf=idf, mean=mean, n_questions=n_questions, qids=qids) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for lo in range(0, whole.num_rows, SCORED):
+                    batch = whole.slice(lo, SCORED)
+                    which, term, tf = known(batch)
+                    length = batch.column(1).to_numpy()[which]
+                    weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / (mean or 1.0)))
+                    order = np.argsort(term, kind="stable")
+                    which, term, weight = which[order], term[order], weight[order]
+                    scores = np.full((batch.num_rows, n_questions), -np.inf)
+                    edge = [*np.flatnonzero(np.diff(term, prepend=-1)).tolist(), len(term)]
+                    for a, b in zip(edge[:-1], edge[1:], strict=True):
+                        cell = np.ix_(which[a:b], asking[at[term[a]] : at[term[a] + 1]])
+                        scores[cell] = np.maximum(scores[cell], 0.0) + weight[a:b, None]
+                    i, j = best_of(scores, k, margin)
+                    yield found_rows(batch.column(0), i, j, scores, qids, ["qid", key, "score"])
+
+        found = sparse.mapInArrow(score, schema)
+        parts.append(found.select("qid", key, rounded(F.col("score"), digits).alias("score")))
+    if not parts:
+        return ranked(texts.sparkSession.createDataFrame([], schema), k, key)
+    return ranked(reduce(DataFrame.unionByName, parts), k, key)
+
+
+def unit(rows: np.ndarray) -> np.ndarray:
+    """Rows scaled to length 1, by their largest component first so that no square overflows; NaN for a zero row."""
+    with np.errstate(invalid="ignore", divide="ignore"):
+        rows = rows / np.abs(rows).max(axis=1, keepdims=True, initial=0)
+        return rows / np.sqrt((rows * rows).sum(axis=1, keepdims=True))
+
+
+def dense(questions: DataFrame, vectors: DataFrame, k: int | None = TOP_K, key: str = "chunk_id", vector: str = "dense", digits: int | None = None) -> DataFrame:
+    """questions (qid, qvec), vectors (key, vector): (qid, key, score, rank) by exact cosine, one matrix product a batch and block of questions.
+
+    Vectors that are null, zero or hold nulls, and vectors of another length than the question's, are not found.
+    """
+    k = k or TOP_K
+    asked = questions.select("qid", F.col("qvec").cast("array<double>").alias("v"), F.greatest(F.size("qvec"), F.lit(0)).alias("size")).where("qvec is not null")
+    schema, qid_type = types_of(questions, vectors, key)
+    margin = 10.0**-digits if digits else 0.0
+    parts = []
+    for block in question_blocks(asked, "size"):
+        for dim in sorted({q.size for q in block} - {0}):
+            some = [q for q in block if q.size == dim and None not in q.v]
+            if not some:
+                continue
+            matrix = unit(np.array([q.v for q in some], float)).T
+            qids = pa.array([q.qid for q in some], qid_type)
+
+            def score(batches: Iterator[pa.RecordBatch], matrix=matrix, qids=qids, dim=dim) -> Iterator[pa.RecordBatch]:
+                for whole in batches:
+                    for lo in range(0, whole.num_rows, SCORED):
+                        batch = whole.slice(lo, SCORED)
+                        flat = batch.column(1).flatten()
+                        x = unit(flat.to_numpy(zero_copy_only=False).astype(float).reshape(-1, dim))
+                        scores = x @ matrix
+                        scores[np.isnan(scores)] = -np.inf
+                        if len(scores):
+                            i, j = best_of(scores, k, margin)
+                            yield found_rows(batch.column(0), i, j, scores, qids, ["qid", key, "score"])
+
+            found = vectors.select(key, F.col(vector).cast("array<double>").alias("_v")).where(F.size("_v") == dim).where(F.forall("_v", lambda c: c.isNotNull())).mapInArrow(score, schema)
+            parts.append(found.select("qid", key, rounded(F.col("score"), digits).alias("score")))
+    if not parts:
+        return ranked(vectors.sparkSession.createDataFrame([], schema), k, key)
+    return ranked(reduce(DataFrame.unionByName, parts), k, key)
 
 
 def fused(legs: list[DataFrame], k: int | None = TOP_K, key: str = "chunk_id", constant: int = RRF_K) -> DataFrame:
@@ -84,8 +205,5 @@ def hybrid(questions: DataFrame, points: DataFrame, k: int | None = TOP_K, space
 
 
 def candidates(found: DataFrame, points: DataFrame, key: str = "chunk_id") -> DataFrame:
-    """Join the payload to what was found; the vectors stay out."""
-    return found.join(points.drop("dense"), key)
-
-
-__all__ = ["bm25", "candidates", "dense", "fused", "hybrid", "lengths", "postings", "ranked", "term_stats"]
+    """Join the payload to what was found, which is written once; the vectors stay out."""
+    return materialised(found).join(points.drop("dense", "n_terms", "terms", "tfs"), key)

@@ -5,10 +5,10 @@ from __future__ import annotations
 import logging
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .state import Snapshots, deleted, upserted
+from .state import Snapshots
 
 log = logging.getLogger("corvane.sync")
 
@@ -31,18 +31,28 @@ def changed_since(pages: DataFrame, since: str, spaces: list[str]) -> DataFrame:
     return in_spaces(pages, spaces).where(F.col("last_modified") >= since).orderBy("last_modified")
 
 
-def outcomes(pages: DataFrame, restricted: DataFrame, state: DataFrame) -> DataFrame:
-    """pages with the column outcome: restricted, unchanged (the stored hash is the page's), or indexed.
+def with_ids(pages: DataFrame, ids: list[str]) -> DataFrame:
+    """Pages by id; a source that can look ids up gets the filter."""
+    return pages.where(F.col("page_id").isin(ids))
 
-    Two left joins on page_id, whose small sides Spark broadcasts only if they are below its threshold. A page that
-    carries an error (a non-null column error) is counted as such and goes no further.
+
+def outcomes(pages: DataFrame, restricted: DataFrame | None, state: DataFrame) -> DataFrame:
+    """pages with the column outcome: restricted, unchanged (the stored hash is the page's), indexed, or error.
+
+    restricted: page_ids, or None if pages have the column restricted already; nobody syncs without knowing. Left joins on
+    page_id, whose small sides Spark broadcasts only if they are below its threshold. A page that carries an error (a
+    non-null column error) or of which it is not known whether it is restricted counts as an error and goes no further.
     """
-    r = restricted.select(F.col("page_id").alias("_r")).distinct()
     s = state.select(F.col("page_id").alias("_s"), F.col("content_hash").alias("_hash"))
-    joined = pages.join(r, F.col("page_id") == F.col("_r"), "left").join(s, F.col("page_id") == F.col("_s"), "left")
-    failed = F.col("error").isNotNull() if "error" in pages.columns else F.lit(False)
-    outcome = F.when(F.col("_r").isNotNull(), RESTRICTED).when(failed, ERROR).when(F.col("_hash").eqNullSafe(F.col("content_hash")), UNCHANGED).otherwise(INDEXED)
-    return joined.withColumn("outcome", outcome).drop("_r", "_s", "_hash")
+    if restricted is not None:
+        r = restricted.select(F.col("page_id").alias("_r")).distinct()
+        pages = pages.drop("restricted").join(r, F.col("page_id") == F.col("_r"), "left").withColumn("restricted", F.col("_r").isNotNull()).drop("_r")
+    elif "restricted" not in pages.columns:
+        raise ValueError("whether pages are restricted is not known")
+    joined = pages.join(s, F.col("page_id") == F.col("_s"), "left")
+    failed = F.col("restricted").isNull() | (F.col("error").isNotNull() if "error" in pages.columns else F.lit(False))
+    outcome = F.when(F.col("restricted"), RESTRICTED).when(failed, ERROR).when(F.col("_hash").eqNullSafe(F.col("content_hash")), UNCHANGED).otherwise(INDEXED)
+    return joined.withColumn("outcome", outcome).drop("_s", "_hash", "restricted")
 
 
 def stats(judged: DataFrame) -> DataFrame:
@@ -55,23 +65,34 @@ def state_rows(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "content_hash", "last_modified", "space_key", "title", "url")
 
 
-def sync(pages: DataFrame, restricted: DataFrame, store: Snapshots, on_index: IndexFn = lambda pages: None, purge_restricted: bool = False) -> dict[str, int]:
+def latest_versions(pages: DataFrame) -> DataFrame:
+    """Of pages that a scan met more than once, the one changed last."""
+    w = Window.partitionBy("page_id").orderBy(F.col("last_modified").desc(), "content_hash")
+    return pages.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+
+
+def sync(pages: DataFrame, restricted: DataFrame | None, store: Snapshots, on_index: IndexFn = lambda pages: None, purge_restricted: bool = False, on_delete: IndexFn = lambda ids: None) -> dict[str, int]:
     """Judge the pages, index the changed ones, then record them: index first, state second, so that a run that breaks off is repeated.
 
-    purge_restricted: also take pages that have become restricted out of the state (and leave the index to on_index's
-    caller). Off, they stay as they are.
+    purge_restricted: also take pages that have become restricted out of the index (on_delete) and the state. Off, they
+    stay as they are.
     """
     store.create()
     state = store.read()
     judged = outcomes(pages, restricted, state).persist()
     try:
         counted = stats(judged).first().asDict()
-        changed = judged.where(F.col("outcome") == INDEXED).drop("outcome")
-        gone = judged.where(F.col("outcome") == RESTRICTED) if purge_restricted else None
-        if counted["indexed"] or gone is not None:
+        changed = latest_versions(judged.where(F.col("outcome") == INDEXED).drop("outcome"))
+        if counted["indexed"]:
             on_index(changed)
-            new = upserted(state, state_rows(changed))
-            store.write(new if gone is None else deleted(new, gone))
+            store.replace(changed.select("page_id"), state_rows(changed))
+        if purge_restricted and counted["skipped_restricted"]:
+            gone = judged.where(F.col("outcome") == RESTRICTED).select("page_id").distinct()
+            on_delete(gone)
+            store.replace(gone)
+        if counted["errors"] and "error" in judged.columns:
+            for r in judged.where(F.col("outcome") == ERROR).select("page_id", "error").limit(20).collect():
+                log.warning("page %s: %s", r.page_id, r.error)
     finally:
         judged.unpersist()
     log.info("sync: %s", counted)
@@ -81,5 +102,5 @@ def sync(pages: DataFrame, restricted: DataFrame, store: Snapshots, on_index: In
 def delete_pages(ids: DataFrame, store: Snapshots, index: Snapshots | None = None) -> None:
     """Take pages out of the index, then out of the state."""
     if index is not None:
-        index.write(deleted(index.read(), ids))
-    store.write(deleted(store.read(), ids))
+        index.replace(ids)
+    store.replace(ids)

@@ -22,7 +22,21 @@ def read_jsonl(spark: SparkSession, path: str, schema: str = QUESTION) -> DataFr
 
 def shared_folder(spark: SparkSession) -> str:
     """A folder that driver and executors share: spark.checkpoint.dir, or, in local mode alone, a temporary one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder is None and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     return folder or tempfile.mkdtemp(prefix="corvane-")
+
+
+def materialised(df: DataFrame) -> DataFrame:
+    """The rows written once to the shared folder, so that what made them runs once and a lost executor costs no recomputation."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint(eager=True)
+
+
+def dropped(spark: SparkSession, path: str) -> None:
+    """Delete a folder of our own on whatever file system it is."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

@@ -34,6 +34,8 @@ def recorded_fetch(folder: str):
             return listing(sorted(rows, key=lambda p: p["version"]["when"]), params)
         m = re.fullmatch(r"/rest/api/content/([^/]+)(/restriction/byOperation/read)?", path)
         if m and m[2]:
+            if "status" in restrictions.get(m[1], {}):  # a recorded failure
+                raise HttpError(restrictions[m[1]]["status"], path)
             return restrictions.get(m[1], {"restrictions": {"user": {"size": 0, "results": []}, "group": {"size": 0, "results": []}}})
         found = [p for p in pages if m and str(p["id"]) == m[1]]
         if not found:

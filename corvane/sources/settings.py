@@ -15,23 +15,32 @@ def _list(value: str | list[str]) -> list[str]:
 
 @dataclass(frozen=True)
 class Settings:
-    """One field per setting; names are matched without regard to case, unknown ones are ignored."""
+    """One field per setting; names are matched without regard to case, unknown ones are ignored. A model without an address is the engine's own; without webhook_secret no event is taken."""
 
     wiki_base_url: str = ""
     wiki_token: str = ""
     space_allowlist: list[str] = field(default_factory=list)
     catalog_dir: str = "catalog"
     state_dir: str = "state"
+    llm_base_url: str = ""
+    llm_api_key: str = ""
+    llm_model: str = ""
+    llm_max_tokens: int = 1500
+    llm_temperature: float = 0.0
+    llm_disable_thinking: bool = True
+    embed_base_url: str = ""
+    embed_api_key: str = ""
+    embed_model: str = ""
     embed_dim: int = 1024
     embed_batch: int = 64
+    rerank_url: str = ""
+    rerank_api_key: str = ""
+    rerank_model: str = ""
     chunk_max_tokens: int = 512
     chunk_hard_max_tokens: int = 5000
     retrieve_top_k: int = 20
     rerank_top_n: int = 5
     rerank_score_min: float = 0.3
-    llm_max_tokens: int = 1500
-    llm_temperature: float = 0.0
-    llm_disable_thinking: bool = False
     webhook_secret: str = ""
     log_level: str = "INFO"
 

@@ -26,10 +26,10 @@ def latest(events: DataFrame, key: str = "page_id", order: tuple[str, ...] = ("s
 
 
 def authorised(header: str | None, query: str | None, secret: str) -> bool:
-    """Whether the shared secret came by header or else by query; without a secret all may."""
+    """Whether the shared secret came by header or else by query. Where none is set, nobody may."""
     import hmac
 
-    return not secret or hmac.compare_digest((header or query or "").encode(), secret.encode())
+    return bool(secret) and hmac.compare_digest((header or query or "").encode(), secret.encode())
 
 
 def sync_stream(events: DataFrame, on_sync: Callable[[DataFrame], None], on_delete: Callable[[DataFrame], None], checkpoint: str, order: tuple[str, ...] = ("seq",), available_now: bool = True) -> StreamingQuery:

@@ -103,6 +103,11 @@ def test_retry():
     for error in (retry.HttpError(404), ValueError()):
         with pytest.raises(type(error)):
             retry.with_retries(lambda e=error: (_ for _ in ()).throw(e), sleep=waits.append)
+    with pytest.raises(FileNotFoundError):
+        retry.with_retries(lambda: open("/none/such"), sleep=waits.append)
+    with pytest.raises(retry.HttpError):
+        retry.with_retries(lambda: (_ for _ in ()).throw(retry.HttpError(500)), waits=[0.1], sleep=waits.append)
+    assert waits.pop() == 0.1
     assert len(waits) == 2 and retry.worth_retrying(ConnectionError()) and retry.worth_retrying(retry.HttpError(429))
 
 
@@ -121,7 +126,8 @@ def test_event_shapes(spark):
     rows = ['{"page":{"id":5},"event":"page_created"}', '{"content":{"id":"6"},"eventType":"Page_Removed"}', '{"page_id":"7"}', '{"id":"8","event":"x_page_deleted_y"}', '{"page":"text","id":9}', "{}", "junk"]
     got = events.routed(spark.createDataFrame([(r,) for r in rows], "value string")).collect()
     assert [(r.page_id, r.action) for r in got] == [("5", "sync"), ("6", "delete"), ("7", "sync"), ("8", "delete"), ("9", "sync"), (None, None), (None, None)]
-    assert events.authorised(None, "s", "s") and events.authorised(None, None, "") and not events.authorised("x", None, "s")
+    assert events.authorised(None, "s", "s") and not events.authorised("x", None, "s")
+    assert not events.authorised(None, None, "") and not events.authorised("", "", "")  # no secret opens nothing
 
 
 def test_stream(spark, tmp_path):
