@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import buffers, checkpointed, text_or_empty
-from .components import components
-from .windows import LAST_ID, U, whole_groups
+from .components import components, join_hot
+from .windows import U, whole_groups
 
 SEGMENTS, DISTANCE, SHINGLE, SEED = 16, 3, 3, 42
 #: Fingerprints of a bucket that are compared with each other directly; larger buckets are divided further.
@@ -45,7 +45,7 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc, fp) of each row; doc stands last where doc_id is null."""
+    """(doc, fp) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -54,8 +54,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             fps = np.fromiter((fingerprint(raw[at[i] : at[i + 1]], shingle) for i in range(batch.num_rows)), U, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc", "fp"])
 
-    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc")
-    return docs.select(doc, text_or_empty().alias("text")).mapInArrow(run, "doc long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc"), text_or_empty().alias("text")).mapInArrow(run, "doc long, fp long")
 
 
 def rotated(fp: np.ndarray, start: int) -> np.ndarray:
@@ -164,18 +163,19 @@ def links(nodes: DataFrame) -> DataFrame:
     return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "a long, b long")
 
 
-def rooted(fps: DataFrame, linked: DataFrame) -> DataFrame:
-    """Of each fingerprint of fps (doc, fp), (fp, root, least): its component over the edges ``linked`` and shared docs, and the least doc in it."""
-    nodes = fps.groupBy("fp").agg(F.min("doc").alias("doc"))
-    several = fps.where(F.col("doc") != LAST_ID).groupBy("doc").agg(F.min("fp").alias("b"), F.max("fp").alias("x")).where("b <> x").select("doc", "b")
-    shared = fps.join(several.hint("shuffle_hash"), "doc").select(F.col("fp").alias("a"), "b")
+def rooted(fps: DataFrame, linked: DataFrame) -> tuple[DataFrame, int]:
+    """Of each fingerprint of fps (doc, fp), (fp, root, least, n): its component over the edges ``linked`` and shared docs, the least doc in it, and how many rows have the fingerprint; and the number of all rows."""
+    nodes = checkpointed(fps.groupBy("fp").agg(F.min("doc").alias("doc"), F.count("*").alias("n")))
+    several = fps.where("doc is not null").groupBy("doc").agg(F.min("fp").alias("b"), F.max("fp").alias("x"), F.count("*").alias("n")).where("b <> x").select("doc", "b", "n")
+    total = nodes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    shared = join_hot(fps, several, "doc", "n", total[0]).select(F.col("fp").alias("a"), "b").where("a <> b")
     found = components(linked.unionByName(shared))
-    of_fp = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "doc", F.coalesce("root", "fp").alias("root"))
-    least = of_fp.groupBy("root").agg(F.min("doc").alias("least"))
-    return of_fp.join(least, "root").select("fp", "root", "least")
+    of_fp = checkpointed(nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "doc", "n", F.coalesce("root", "fp").alias("root")))
+    least = of_fp.groupBy("root").agg(F.min("doc").alias("least"), F.count("*").alias("m"))
+    return join_hot(of_fp, least, "root", "m", total[1]).select("fp", "root", "least", "n"), total[0]
 
 
-def _components(docs: DataFrame, shingle: int) -> tuple[DataFrame, DataFrame]:
+def _components(docs: DataFrame, shingle: int) -> tuple[DataFrame, tuple[DataFrame, int]]:
     """(doc, fp) of each row, and ``rooted`` over the links of the fingerprints."""
     fps = checkpointed(fingerprints(docs, shingle))
     return fps, rooted(fps, links(fps.select("fp").distinct()))
@@ -190,10 +190,9 @@ def groups(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     stands by several texts links them. A row without doc_id is linked by its text; where no id is in reach, its
     component is null. An empty table gives an empty result; other columns are ignored.
     """
-    fps, of_fp = _components(docs, shingle)
+    fps, (of_fp, total) = _components(docs, shingle)
     shown = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    known = lambda c: F.when(F.col(c) != LAST_ID, F.col(c))
-    return fps.join(of_fp, "fp").select(known("doc").alias("doc_id"), shown.alias("fingerprint"), known("least").alias("component_id"))
+    return join_hot(fps, of_fp, "fp", "n", total).select(F.col("doc").alias("doc_id"), shown.alias("fingerprint"), F.col("least").alias("component_id"))
 
 
 def deduplicated(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -202,29 +201,35 @@ def deduplicated(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return kept(docs, fps, of_fp, lambda text: int(np.array([fingerprint(text, shingle)], U).view(np.int64)[0]))
 
 
-def kept(docs: DataFrame, fps: DataFrame, of_fp: DataFrame, key: Callable[[bytes], int]) -> DataFrame:
-    """The row of each group's smallest doc_id; of rows that share it, one. fps, of_fp: see ``rooted``; key: the fp of a text.
+def kept(docs: DataFrame, fps: DataFrame, of_fp: tuple[DataFrame, int], key: Callable[[bytes], int]) -> DataFrame:
+    """The row of each group's smallest doc_id; of rows that share it, the first by a hash of its text and then of all its columns. fps, of_fp: see ``rooted``; key: the fp of a text.
 
-    A group without any doc_id keeps one of its rows. Columns of ``docs`` may have any name but _doc, _n, _fp.
+    A group without any doc_id keeps one of its rows, chosen in the same way. Columns of ``docs`` may have any names.
     """
-    first = checkpointed(fps.join(of_fp, "fp").where((F.col("doc") == F.col("least")) & (F.col("doc") != LAST_ID)).groupBy(F.col("doc").alias("_doc")).agg(F.count("*").alias("_n")))
-    named = docs.withColumn("_doc", F.col("doc_id").cast("long")).join(first.hint("shuffle_hash"), "_doc").drop("_doc")
-    out = named.where("_n = 1").drop("_n")
-    if not first.where("_n > 1").isEmpty():
-        out = out.unionByName(named.where("_n > 1").drop("_n").dropDuplicates(["doc_id"]))
-    if fps.where(F.col("doc") == LAST_ID).isEmpty():
+    rooted_, total = of_fp
+    columns = docs.columns
+    free = lambda name: next(n for n in (name + "_" * i for i in range(len(columns) + 1)) if n not in columns)
+    doc, n, fp, root, row = map(free, ("_doc", "_n", "_fp", "_root", "_row"))
+    first = checkpointed(join_hot(fps, rooted_, "fp", "n", total).where(F.col("doc") == F.col("least")).groupBy(F.col("doc").alias(doc)).agg(F.count("*").alias(n)))
+    named = docs.withColumn(doc, F.col("doc_id").cast("long")).join(first.hint("shuffle_hash"), doc)
+    out = named.where(F.col(n) == 1).select(*docs.columns)
+    whole = F.struct(*(F.col(f"`{c}`") for c in columns))
+    one_of = F.min_by(whole, F.struct(F.xxhash64("text"), F.xxhash64(F.to_json(whole)))).alias(row)
+    back = [F.col(row)[c].alias(c) for c in columns]
+    if not first.where(F.col(n) > 1).isEmpty():
+        out = out.unionByName(named.where(F.col(n) > 1).groupBy(doc).agg(one_of).select(*back))
+    if fps.where("doc is null").isEmpty():
         return out
     # Rows without id are known by their text alone.
-    alone = of_fp.where(F.col("least") == LAST_ID).select(F.col("fp").alias("_fp"), F.col("root").alias("_root"))
+    alone = rooted_.where("least is null").select(F.col("fp").alias(fp), F.col("root").alias(root), F.col("n").alias(n))
     nameless = docs.where("doc_id is null")
-    schema = ", ".join([*(f"`{c}` {t}" for c, t in nameless.dtypes), "_fp long"])
-    columns = docs.columns
+    schema = ", ".join([*(f"`{c}` {t}" for c, t in nameless.dtypes), f"{fp} long"])
     at = columns.index("text")
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = [key((t.as_py() or "").encode()) for t in b.column(at)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fp, pa.int64())], names=[*columns, "_fp"])
+            found = [key((t.as_py() or "").encode()) for t in b.column(at)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.int64())], names=[*columns, fp])
 
-    one = nameless.mapInArrow(add, schema).join(alone, "_fp").dropDuplicates(["_root"]).select(*docs.columns)
-    return out.unionByName(one)
+    one = join_hot(nameless.mapInArrow(add, schema), alone, fp, n, total).groupBy(root).agg(one_of)
+    return out.unionByName(one.select(*back))

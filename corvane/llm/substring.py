@@ -17,47 +17,55 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import buffers
-from .windows import LAST_ID, U, Spec, covered, mix, repeated_windows, starts_of
+from .windows import U, Spec, covered, id_of_key, repeated_windows, starts_of
 
 LENGTH, GRAM = 20, 5
 
 
-def extended(ah: np.ndarray, doc: np.ndarray, pos: np.ndarray, ok: np.ndarray, context: np.ndarray, side: int) -> np.ndarray:
-    """Flags, of the windows ok (per row and offset), those whose words also start earlier, by (doc, position)."""
-    n = len(ah)
-    words = np.ascontiguousarray(context).view(U)
-    flags = np.zeros((n, side + 1), bool)
-    ahead = np.empty((side + 1, n), U)  # class of the seed extended by r words to the right
-    ahead[0] = ah.view(U)
-    for r in range(1, side + 1):
-        ahead[r] = mix(ahead[r - 1] + words[:, side + r - 1] * U(0x9E3779B97F4A7C15))
-    back = mix(ah.view(U))  # and by o words to the left
-    for o in range(side + 1):
+def classes(of: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Classes of occurrences that agree so far, split by their next word."""
+    order = np.lexsort((word, of))
+    out = np.empty(len(of), np.int64)
+    out[order] = np.cumsum(starts_of(of[order], word[order]))
+    return out
+
+
+def extended(route: np.ndarray, place: np.ndarray, ok: np.ndarray, context: np.ndarray) -> np.ndarray:
+    """Flags, of the windows ok (per row and offset), those whose words also start earlier, by place.
+
+    From their seed, occurrences are extended word by word to both sides; a class falls apart where words differ.
+    """
+    n = len(route)
+    words = np.ascontiguousarray(context).view(U).reshape(n, -1)
+    w = words.shape[1] // 2
+    flags = np.zeros((n, w + 1), bool)
+    seed = classes(route, np.zeros(n, U))
+    ahead = [seed]  # extended by so many words to the right
+    for r in range(w):
+        ahead.append(classes(ahead[-1], words[:, w + r]))
+    back = seed  # and by o words to the left
+    for o in range(w + 1):
         if o:
-            back = mix(back + words[:, side - o] * U(0xC2B2AE3D27D4EB4F))
+            back = classes(back, words[:, w - o])
         i = np.flatnonzero(ok[:, o])
-        if not len(i):
+        if len(i) < 2:
             continue
-        window = back[i] ^ (ahead[side - o][i] * U(0xD6E8FEB86659FD93))
-        order = np.lexsort((pos[i], doc[i], window))
+        window = back[i] * (n + 1) + ahead[w - o][i]
+        order = np.lexsort((place[i], window))
         j = i[order]
         new = starts_of(window[order])
         head = j[np.flatnonzero(new)[np.cumsum(new) - 1]]
-        flags[j, o] = (doc[j] != doc[head]) | (pos[j] != pos[head])
+        flags[j, o] = place[j] != place[head]
     return flags
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
     """Texts dealt by key, and per text the starts of windows of ``length`` words that also start earlier."""
     spec = Spec(length, gram, words=True, ordered=True)
-
-    def repeated(ah, doc, pos, ok, context):
-        return extended(ah, doc, pos, ok, context, spec.side)
-
-    return repeated_windows(docs, repeated, spec)
+    return repeated_windows(docs, extended, spec)
 
 
-OUT = "doc long, tag int, n_words long, n_removed long, kept_sha256 string"
+OUT = "nul boolean, doc long, n_words long, n_removed long, kept_sha256 string"
 
 
 def drop_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_text: bool = False) -> DataFrame:
@@ -66,8 +74,8 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_t
     One row per row of ``docs`` (doc_id long, text string; other columns are ignored): doc_id, n_words,
     n_removed, kept_sha256 of the words left, joined by one space, and, with ``with_text``, that string as kept.
     A null text has no words; empty texts and those under ``length`` words keep all. Rows that share doc_id and
-    text are one document and get equal results. Null doc_ids come after all others and tie with each other.
-    An empty table gives an empty result.
+    text are one document and get equal results; rows that share doc_id alone are in order of a hash of their
+    texts. Rows without doc_id come after all others, in that order too. An empty table gives an empty result.
     """
     dealt, spans = repeated_spans(docs, length, gram)
 
@@ -93,13 +101,12 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_t
                 out.append((n, removed, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace") if with_text else None))
             n, removed, sha, kept = zip(*out, strict=True) if out else ((),) * 4
             made = [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string())]
-            names = ["doc", "tag", "n_words", "n_removed", "kept_sha256"]
+            names = ["nul", "doc", "n_words", "n_removed", "kept_sha256"]
             if with_text:
                 made.append(pa.array(kept, pa.string()))
                 names.append("kept")
             yield pa.RecordBatch.from_arrays(made, names=names)
 
-    joined = dealt.join(spans.hint("shuffle_hash"), ["doc", "tag"], "left").select("doc", "tag", "text", "spans")
+    joined = dealt.join(spans.hint("shuffle_hash"), ["nul", "doc", "key"], "left").select("nul", "doc", "text", "spans")
     done = joined.mapInArrow(run, OUT + (", kept string" if with_text else ""))
-    doc_id = F.when(F.col("doc") != LAST_ID, F.col("doc")).alias("doc_id")
-    return done.select(doc_id, "n_words", "n_removed", "kept_sha256", *(["kept"] if with_text else []))
+    return done.select(id_of_key(), "n_words", "n_removed", "kept_sha256", *(["kept"] if with_text else []))

@@ -140,7 +140,7 @@ def test_offset_ranges():
 
 @pytest.mark.parametrize("ordered", [False, True])
 def test_hot_contexts_give_what_plain_ones_give(ordered):
-    """The rows of a hot anchor, dealt by ranges of offsets, flag the same windows."""
+    """The rows of a hot anchor, dealt by ranges of offsets, flag the windows that a plain comparison flags."""
     import numpy as np
 
     spec = windows.Spec(20, 5, words=True, ordered=ordered)
@@ -149,34 +149,142 @@ def test_hot_contexts_give_what_plain_ones_give(ordered):
     words = r.integers(1, 3, (n, 2 * side)).astype(np.uint64)
     words[:, side : side + 9] = 7
     words[::3, side - 6 : side] = 7
-    ah, doc, pos = np.full(n, 5, np.int64), r.integers(0, 150, n), r.integers(20, 60, n)
-    room = (r.integers(8, side + 1, n) << 32) | r.integers(8, side + 1, n)
-
-    def flagged(hot):
-        b = windows.dealt_contexts(ah, doc, pos, room, np.full(n, hot), words.view(np.uint8).reshape(n, -1), spec)
-        order = np.argsort(b.column(0).to_numpy(), kind="stable")
-        b = b.take(pa.array(order))
-        route, a, d, packed, space, reach, known, context = next(windows.whole_groups(iter([b]), 0))
-        lo, hi = np.maximum(reach >> 32, side - (space & 0xFFFFFFFF)), np.minimum(reach & 0xFFFFFFFF, space >> 32)
-        o = np.arange(side + 1)
-        ok = (o >= lo[:, None]) & (o <= hi[:, None])
-        flags = substring.extended(a, d, packed, ok, context, side) if ordered else suffix_like(a, ok, context, side)
-        flags |= ok & (known > 0)[:, None]
-        out = Counter()
-        for i, k in zip(*np.nonzero(flags), strict=True):
-            out[int(d[i]), int(packed[i]), int(k), context[i].tobytes()] += 1
+    doc, pos = np.sort(r.integers(0, 150, n)), r.integers(20, 60, n)
+    _, first = np.unique((doc << 32) | pos, return_index=True)
+    words, doc, pos = words[first], doc[first], pos[first]
+    n = len(first)
+    rows = {"ah": np.full(n, 5, np.int64), "nul": np.zeros(n, bool), "doc": doc, "key": doc * 3, "rank": doc, "pos": pos, "from": side - r.integers(8, side + 1, n), "to": r.integers(8, side + 1, n), "context": words.view(np.uint8).reshape(n, -1)}
+    wanted = set()
+    for o in range(side + 1):
+        ok = [i for i in range(n) if rows["from"][i] <= o <= rows["to"][i]]
+        seen = {}
+        for i in ok:
+            seen.setdefault(words[i, side - o : 2 * side - o].tobytes(), []).append(i)
+        for same in seen.values():
+            wanted |= {(int(doc[i]), int(pos[i]) - o) for i in (same[1:] if ordered else same * (len(same) > 1))}
+
+    class Frame:
+        """compared() without Spark."""
+
+        def __init__(self, batches):
+            self.batches = batches
+
+        def repartition(self, *_):
+            t = pa.Table.from_batches(self.batches).combine_chunks()
+            order = np.lexsort((t["at"].to_numpy(), t["key"].to_numpy(), t["doc"].to_numpy(), t["route"].to_numpy()))
+            return Frame(t.take(pa.array(order)).combine_chunks().to_batches())
+
+        def sortWithinPartitions(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            return list(run(iter(self.batches)))
+
+    def flagged(hot, monkeypatch=None):
+        made = list(windows.dealt_contexts(rows | {"hot": np.full(n, hot)}, spec))
+        repeated = substring.extended if ordered else suffix_like
+        out = set()
+        for b in windows.compared(Frame(made), repeated, spec):
+            for d, lo, hi in zip(*(b.column(i).to_pylist() for i in (0, 3, 4)), strict=True):
+                out |= {(d, x) for x in range(lo, hi + 1)}
         return out
 
-    def suffix_like(a, ok, context, side):
-        w = np.ascontiguousarray(context).view(np.uint64)
+    def suffix_like(route, place, ok, context):
+        w = np.ascontiguousarray(context).view(np.uint64).reshape(len(route), -1)
+        width = w.shape[1] // 2
         flags = np.zeros_like(ok)
-        for o in range(side + 1):
-            seen = Counter(w[i, side - o : 2 * side - o].tobytes() for i in np.flatnonzero(ok[:, o]))
+        for o in range(width + 1):
+            name = lambda i, o=o: (route[i], w[i, width - o : 2 * width - o].tobytes())
+            seen = Counter(map(name, np.flatnonzero(ok[:, o])))
             for i in np.flatnonzero(ok[:, o]):
-                flags[i, o] = seen[w[i, side - o : 2 * side - o].tobytes()] > 1
+                flags[i, o] = seen[name(i)] > 1
         return flags
 
-    assert flagged(True) == flagged(False)
+    import pyspark.sql.functions as F
+
+    original = F.shiftright
+    F.shiftright = lambda *_: None
+    try:
+        assert flagged(False) == wanted and flagged(True) == wanted
+    finally:
+        F.shiftright = original
+
+
+def test_radix_passes():
+    """Groups of windows against a plain comparison, and rows in the order of their bytes."""
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    for w in (0, 1, 7, 8, 9, 30):
+        n = 120
+        context = r.integers(97, 99, (n, 2 * w)).astype(np.uint8)
+        context[::4] = context[0] if w else context[::4]
+        route = r.integers(0, 4, n)
+        ok = r.random((n, w + 1)) < 0.8
+        flags = suffix.radix_groups(route, np.arange(n), ok, context)
+        for o in range(w + 1):
+            name = lambda i, o=o: (route[i], context[i, w - o : 2 * w - o].tobytes())
+            seen = Counter(map(name, np.flatnonzero(ok[:, o])))
+            assert all(flags[i, o] == (ok[i, o] and seen[name(i)] > 1) for i in range(n))
+        order, parts = suffix.radix_order(route, context)
+        rows = [(route[i], context[i].tobytes()) for i in order]
+        assert rows == sorted(rows)
+        for (a, x), (b, y), p in zip(rows, rows[1:], parts[1:].tolist(), strict=False):
+            same = next((k for k in range(2 * w) if x[k] != y[k]), suffix.NEVER)
+            assert p == (same if a == b else -1)
+
+
+@pytest.mark.parametrize("op,brute,length", [(suffix, brute_bytes, 200), (substring, None, 20)])
+def test_rows_without_ids_and_shared_ids(spark, op, brute, length):
+    """Many rows without doc_id, or with the same one, are judged each by its own text."""
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    passage = " ".join(word() for _ in range(60))
+    texts = [" ".join(word() for _ in range(50)) for _ in range(40)]
+    texts = [t + " " + passage + " " + word() if i % 4 == 0 else t for i, t in enumerate(texts)]
+    rows = [(None if i % 2 else 7, t) for i, t in enumerate(texts)] + [((1 << 63) - 1, texts[3]), (None, texts[5])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = op.drop_repeats(docs, with_text=True).collect()
+    assert len(got) == len(rows) and sum(x.doc_id == (1 << 63) - 1 for x in got) == 1
+    if brute:
+        names = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+        assert Counter(tuple(x[c] for c in names) for x in got) == Counter(brute(rows, length))
+        return
+    # By words, of the rows with the passage exactly one keeps it, and copies without an id are the later ones.
+    assert sum(passage in x.kept for x in got) == 1
+    untouched = Counter(t for t in texts if passage not in t)
+    kept = Counter(x.kept for x in got)
+    assert all(kept[t] >= 1 for t in untouched) and kept[texts[3]] == 1
+
+
+def test_one_passage_in_tasks_of_many_batches(spark, monkeypatch):
+    """Groups that come in parts, and hot anchors that a task has told of before."""
+    monkeypatch.setattr(windows, "MOST_ROWS", 40)
+    r = random.Random(10)
+    passage = "".join(r.choice("abcdefg ") for _ in range(400))
+    rows = [(i if i % 3 else None, f"{r.random()} " * (i % 2) + passage + f" {r.random()} {r.random()}" * (i % 4)) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 90)
+    try:
+        got = suffix.drop_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+        assert Counter(map(tuple, got)) == Counter(brute_bytes(rows, 200))
+        named = [x for x in rows if x[0] is not None]
+        got = substring.drop_repeats(spark.createDataFrame(named, "doc_id long, text string").repartition(2)).collect()
+        assert Counter(map(tuple, got)) == Counter(brute_words(named, 20))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_parts_of_groups():
+    import numpy as np
+
+    key, eh = np.array([1, 1, 2, 2, 2, 2, 2, 2, 2, 3]), np.array([0, 1, 0, 0, 0, 1, 1, 2, 2, 0])
+    t = pa.table({"key": key, "eh": eh}).to_batches(max_chunksize=2)
+    for most in (None, 2, 3, 4):
+        got = list(windows.groups(iter(t), 0, 2, most, 1))
+        assert np.concatenate([r[0] for r, _ in got]).tolist() == key.tolist() and np.concatenate([r[1] for r, _ in got]).tolist() == eh.tolist()
+        for (a, partly), (b, _) in zip(got, got[1:], strict=False):
+            assert (a[0][-1] == b[0][0]) == partly
 
 
 @pytest.mark.parametrize("seed", [11, 12])
@@ -195,4 +303,4 @@ def test_all_anchors_hot(spark, seed, monkeypatch):
 def hot_kind(settled):
     from pyspark.sql import functions as F
 
-    return settled.withColumn("kind", F.col("kind").bitwiseOR(windows.HOT))
+    return settled.withColumn("at", F.col("at").bitwiseOR(windows.HOT))
