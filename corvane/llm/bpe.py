@@ -34,12 +34,27 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
 
 
+def check(spec: dict) -> None:
+    """Refuse a vocabulary file that asks for anything that this codec doesn't do."""
+    split, model = spec.get("pre_tokenizer") or {}, spec.get("model") or {}
+    asked = {
+        "a normalizer": spec.get("normalizer") is not None,
+        "another pre-tokenizer than byte-level": split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True),
+        "another model than BPE": model.get("type", "BPE") != "BPE",
+        "options of the model": any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")),
+        "added tokens that strip, need whole words or are normalized": any(t.get(k) for t in spec.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip", "normalized")),
+    }
+    if found := [what for what, wanted in asked.items() if wanted]:
+        raise ValueError(f"the vocabulary has {', '.join(found)}")
+
+
 class Codec:
     """A byte-level BPE vocabulary file of the tokenizers library."""
 
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        check(spec)
         letters = byte_letters()
         raw = lambda s: bytes(letters[c] for c in s)
         self.special = {t["content"].encode(): t["id"] for t in spec["added_tokens"]}

@@ -1,8 +1,11 @@
 """Main text of web pages by two passes of block rules.
 
-A page is cut into blocks. The first pass decides a block on its own: by the elements it stands in, its link density,
-its length and its density of stop words. Short blocks may stay undecided; the second pass gives them the label of the
-nearest decided neighbour. Inside an article or main element, text is main text unless the rules say otherwise.
+A page is cut into blocks. The first pass decides a block on its own, by its link density, its length and its density of
+stop words, each weighed by where it stands: inside an article or main element text is likely, in a box whose class or id
+speaks of something beside the text it has to read like text. What the contract names (menus, headers, footers, sidebars,
+notices, adverts, forms, comments) is left out by its element or by an unmistakable name. Blocks that stay undecided get,
+in the second pass, the label of the nearest decided neighbour, headings that of the text they stand over. Of a page's
+articles and what stands beside them, the side with more good text is kept.
 """
 
 from __future__ import annotations
@@ -16,6 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import markup
+from .markup import END, START, TEXT, attributes_of, events
+
 #: Frequent words of English, German, French and Spanish; fixed values.
 STOP = frozenset(
     "a an and are as at be but by for from had has have he her his in is it its not of on or that the their they this to was were which will with you "
@@ -30,20 +36,21 @@ SOME, MANY, LINKS = 0.30, 0.32, 0.5
 #: Up to this link density a block may be text in any language, whatever its stop words: if long, it is.
 FEW = 0.2
 
-RAW = frozenset("script style noscript template textarea iframe svg canvas title head select button object video audio".split())
+RAW = markup.RAW | {"head"}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 NEVER = frozenset("nav footer aside form menu dialog".split())
 BREAK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 BOX = frozenset("article aside blockquote body details dialog div dl fieldset figure footer form header html li main menu nav ol section table td th tr ul".split())
-#: Words of class, id or role that mark what isn't main text.
+#: Words of class, id or role of a box that is no part of the text, and of one that likely isn't: what stands there has to read like text.
 MARKS = frozenset(
-    "ad ads adv advert adverts advertisement advertising advertorial banner breadcrumb breadcrumbs byline comment comments commentlist complementary contentinfo consent cookie cookies disclaimer discussion disqus dialog footer gdpr header masthead menu menubar modal nav navbar navigation navigationbar newsletter notice notices overlay pager pagination popup promo promotion promoted recommendations recommended related replies reply respond responses search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toc toolbar widget widgets".split()
+    "ad ads adv advert adverts advertisement advertising advertorial banner breadcrumb breadcrumbs comment comments commentlist complementary consent contentinfo cookie cookies disqus footer gdpr header masthead menu menubar modal nav navbar navigation navigationbar newsletter notice notices pager pagination popup promo promoted sidebar sponsor sponsored".split()
+)
+MAYBE = frozenset(
+    "byline dialog disclaimer discussion overlay promotion recommendations recommended related replies reply respond responses search share sharing signup skip social subscribe subscription toc toolbar widget widgets".split()
 )
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>""", re.S)
-ATTRIBUTE = re.compile(r"""(?i)\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 WORDS = re.compile(r"[^\W\d_]+")
 #: Characters of scripts that write a syllable or a word with each; one counts as three.
@@ -61,23 +68,37 @@ class Block:
     linked: int
     heading: bool
     article: int
+    doubtful: bool = False
 
 
 #: A class that begins so says what a box has beside it, or lacks; it doesn't mark the box.
 BESIDE = frozenset("has with without no".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+
+
+@dataclass(frozen=True)
+class Marks:
+    """What class, id and role of an element say: that it isn't main text, that it is only a header, that it may not be main text, that it is."""
 
+    out: bool = False
+    header: bool = False
+    maybe: bool = False
+    main: bool = False
 
-def marked(attributes: str) -> tuple[bool, bool, bool]:
-    """Whether class, id or role mark an element as not main text; whether only as a header; whether as main."""
-    found: set[str] = set()
-    main = False
-    for m in ATTRIBUTE.finditer(attributes):
-        for value in (m[2] or m[3] or m[4] or "").split():
-            words = [w.lower() for w in re.split(r"[^A-Za-z]+", CAMEL.sub(" ", value)) if w]
+
+def marked(attributes: str) -> Marks:
+    out: set[str] = set()
+    maybe = main = False
+    for name, value in attributes_of(attributes):
+        if name not in ("class", "id", "role"):
+            continue
+        for one in value.split():
+            words = [w.lower() for w in re.split(r"[^A-Za-z]+", CAMEL.sub(" ", one)) if w]
             if words and words[0] not in BESIDE:
-                found |= MARKS.intersection(words)
-            main |= m[1].lower() == "role" and "main" in words
-    return bool(found), found == {"header"}, main
+                out |= MARKS.intersection(words)
+                maybe |= not MAYBE.isdisjoint(words)
+            main |= name == "role" and "main" in words
+    return Marks(bool(out), out == {"header"}, maybe, main)
 
 
 def blocks(html: str, marked_articles: bool = False) -> list[Block]:
@@ -85,9 +106,10 @@ def blocks(html: str, marked_articles: bool = False) -> list[Block]:
     out: list[Block] = []
     parts: list[str] = []
     linked: list[str] = []
-    # An open element: its name, and what held outside it (zone, the article it is in, whether in a header of one).
-    stack: list[tuple[str, int, int, bool]] = []
-    zone, article, in_header, in_link, heading, links, articles = OUTSIDE, 0, False, 0, False, 0, 0
+    # An open element: its name, and what held outside it (zone, the article it is in, whether in a header of one, whether in doubt).
+    stack: list[tuple[str, int, int, bool, bool]] = []
+    opened: dict[str, int] = {}
+    zone, article, in_header, doubtful, in_link, heading, links, articles = OUTSIDE, 0, False, False, 0, False, 0, 0
 
     def flush() -> None:
         nonlocal links
@@ -95,34 +117,19 @@ def blocks(html: str, marked_articles: bool = False) -> list[Block]:
             text = " ".join(unescape("".join(parts)).split())
             if text:
                 where = EXCLUDED if in_header and not heading else zone
-                out.append(Block(text, where, links, len(" ".join(unescape("".join(linked)).split())), heading, article))
+                out.append(Block(text, where, links, len(" ".join(unescape("".join(linked)).split())), heading, article, doubtful))
             parts.clear()
             linked.clear()
         links = 0
 
-    at, n = 0, len(html)
-    while at < n:
-        m = TAG.search(html, at)
-        piece = html[at : m.start() if m else n]
-        if piece:
-            parts.append(piece)
+    for event, name, attributes in events(html, RAW):
+        if event == TEXT:
+            parts.append(name)
             if in_link:
-                linked.append(piece)
-        if m is None:
-            break
-        at = m.end()
-        name = m[2]
-        if name is None:
+                linked.append(name)
             continue
-        name = name.lower()
-        if not m[1]:
+        if event == START:
             if name in RAW:
-                if name == "head":  # ends with its end tag or where the body begins
-                    end = re.compile(r"(?i)</head\s*>|(?=<body\b)").search(html, at)
-                else:
-                    end = re.compile(rf"(?i)</{re.escape(name)}\s*>").search(html, at)
-                if not m[3].rstrip().endswith("/") or name not in ("svg", "object"):
-                    at = end.end() if end else (n if name in ("script", "style", "textarea", "title", "head") else at)
                 if name in BREAK:
                     flush()
                 elif parts and name not in ("script", "style"):
@@ -134,38 +141,44 @@ def blocks(html: str, marked_articles: bool = False) -> list[Block]:
                 parts.append("\n")
             if name in VOID:
                 continue
-            stack.append((name, zone, article, in_header))
+            stack.append((name, zone, article, in_header, doubtful))
+            opened[name] = opened.get(name, 0) + 1
             if name == "a":
                 in_link += 1
                 links += 1
-            if name in ("h1", "h2", "h3", "h4", "h5", "h6"):
+            if name in HEADINGS:
                 heading = True
             elif name in BOX:
-                bad, as_header, main = marked(m[3]) if m[3] else (False, False, False)
-                if as_header and article:
+                m = marked(attributes) if attributes else Marks()
+                if name not in ("body", "html", "article", "main"):
+                    doubtful |= m.maybe
+                if m.header and article:
                     in_header = True
-                elif name in NEVER or (bad and name not in ("body", "html", "article", "main")) or (name == "article" and bad and (article or not marked_articles)):
+                elif name in NEVER or (m.out and name not in ("body", "html", "article", "main")) or (name == "article" and (m.out or m.maybe) and (article or not marked_articles)):
                     zone = EXCLUDED
                 elif name == "header":
                     if article:
                         in_header = True
                     else:
                         zone = EXCLUDED
-                elif name in ("article", "main") or main:
+                elif name in ("article", "main") or m.main:
                     if zone != EXCLUDED:
                         zone = MAIN
                         articles += 1
                         article = article or articles
-        else:
+        elif event == END:
             if name in BREAK:
                 flush()
-            if name in ("h1", "h2", "h3", "h4", "h5", "h6"):
+            if name in HEADINGS:
                 heading = False
+            if not opened.get(name):
+                continue
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
                     for gone in stack[k:]:
                         in_link -= gone[0] == "a"
-                    zone, article, in_header = stack[k][1:]
+                        opened[gone[0]] -= 1
+                    _, zone, article, in_header, doubtful = stack[k]
                     del stack[k:]
                     break
                 if name not in BOX and stack[k][0] in BOX:
@@ -174,21 +187,27 @@ def blocks(html: str, marked_articles: bool = False) -> list[Block]:
     return out
 
 
+def stop_density(text: str) -> float:
+    words = WORDS.findall(text.lower())
+    return sum(w in STOP for w in words) / len(words) if words else 0.0
+
+
 def decide(b: Block) -> int:
     """The first pass: a block by itself."""
     if b.zone == EXCLUDED:
         return BAD
     size = len(b.text)
-    if b.linked > LINKS * size and (b.zone == OUTSIDE or b.links > 1):
+    if b.linked > LINKS * size and (b.zone == OUTSIDE or b.doubtful or b.links > 1):
         return BAD
-    words = WORDS.findall(b.text.lower())
-    density = sum(w in STOP for w in words) / len(words) if words else 0.0
-    if b.zone == MAIN:
-        return GOOD if size >= SHORT or density >= SOME or b.heading else OPEN
+    density = stop_density(b.text)
     full = size + 2 * len(WIDE.findall(b.text))
+    few = b.linked <= FEW * size
+    if b.doubtful:
+        return GOOD if few and (density >= SOME and full >= SHORT or full > LONG) else OPEN if b.heading else BAD
+    if b.zone == MAIN:
+        return GOOD if full >= SHORT and few or density >= SOME or b.heading else OPEN
     if full < SHORT:
         return BAD if b.links else OPEN
-    few = b.linked <= FEW * size
     if density >= MANY or few:
         return GOOD if full > LONG else OPEN
     return OPEN if density >= SOME else BAD
@@ -216,6 +235,8 @@ def labelled(found: list[Block]) -> list[int]:
             near, far = i - p if p <= n else n + 1, q - i if q <= n else n + 1
             if near > n and far > n:  # nothing is decided
                 label = GOOD if b.zone == MAIN else BAD
+            elif b.heading and b.doubtful:
+                label = y
             elif near == far:
                 label = GOOD if GOOD in (x, y) and (x == y or b.zone == MAIN) else BAD
             else:
@@ -244,7 +265,7 @@ def main_text(html: str | None) -> str:
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of each page, from its whole html.
 
-    One row per row; null ids and urls stay null; a null or empty html, or one without main text, gives an empty text
+    One row per row, in time that grows with the page, however broken its markup; null ids and urls stay null; a null or empty html, or one without main text, gives an empty text
     and 0 characters. An empty table gives an empty result; other columns are ignored.
     """
 

@@ -13,6 +13,12 @@ DIGITS = 3
 BROADCAST_SOURCES = 100_000
 
 
+def seeded_order(seed: int) -> F.Column:
+    """A document's place in the shuffled order, by its id or, where it has none, by its text."""
+    name = F.coalesce(F.col("doc_id").cast("string"), F.md5(text_or_empty().cast("binary")))
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), name).cast("binary"))
+
+
 def size_of(text: str = "text") -> F.Column:
     return F.regexp_count(text_or_empty(text), F.lit(WORD)).cast("long")
 
@@ -51,8 +57,7 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: f
     Equal rows are separate documents. Null texts and texts without words have size 0 and are taken floor(r)
     times. An empty table gives an empty result. Other columns of ``docs`` are left out.
     """
-    order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    sized = docs.select("doc_id", "source", size_of().alias("size"), order.alias("_order"))
+    sized = docs.select("doc_id", "source", size_of().alias("size"), seeded_order(seed).alias("_order"))
     return with_copies(sized, weights, share, cap)
 
 
@@ -90,11 +95,10 @@ def with_copies(sized: DataFrame, weights: tuple[float, ...], share: float, cap:
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, cap: float = 2.0, seed: int = 7) -> DataFrame:
-    """The mix itself: the rows of ``docs``, each as often as ``plan`` says."""
+    """The mix itself: the rows of ``docs``, each as often as ``plan`` says. Where only some of several rows with one id are taken, those of fewer words are."""
     columns = docs.columns
-    order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
     rest = [F.col(c).alias(f"_c_{c}") for c in columns if c not in ("doc_id", "source")]
-    sized = docs.select("doc_id", "source", size_of().alias("size"), order.alias("_order"), *rest)
+    sized = docs.select("doc_id", "source", size_of().alias("size"), seeded_order(seed).alias("_order"), *rest)
     taken = with_copies(sized, weights, share, cap)
     out = taken.where(F.col("copies") > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return out.select(*(F.col(c) if c in ("doc_id", "source") else F.col(f"_c_{c}").alias(c) for c in columns))

@@ -2,8 +2,8 @@
 
 The statistics are few and cheap. Scaled by the labelled rows' mean and deviation, they go through random Fourier
 features, whose inner products approximate a Gaussian kernel. Each partition of labelled rows adds up its part of the
-normal equations; the sums are small and of fixed size. The ridge scores are then calibrated by isotonic regression
-over a fixed number of bins.
+normal equations, fold by fold; the sums are small and of fixed size. Ridge scores are calibrated by isotonic regression
+over a fixed number of bins, on scores that each row gets from the equations of the other folds.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ FEATURES, WIDTH, RIDGE, BINS, KEEP = 256, 4.0, 1e-4, 512, 0.3
 MOST_ROWS = 200_000
 #: The bounded rows are summed in so many parts, and the parts added up in so many groups of rows of the matrix.
 SLICES, STRIPES = 32, 16
+#: Parts of the labelled rows, by hashed id, of which each is scored by the others for the calibration.
+FOLDS = 3
 _SEED = 5
 
 #: Classes of bytes: 0 other, 1 lower case, 2 upper case, 3 digit, 4 white space, 5 sentence punctuation, 6 symbol, 7 part of a character beyond ASCII.
@@ -124,16 +126,17 @@ def held_out(doc_id: Column) -> Column:
 
 
 def measured(docs: DataFrame, label: str) -> DataFrame:
-    """(label, x array of statistics)."""
+    """(label, fold, x array of statistics) of rows with a doc_id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, at = buffers(batch.column(1))
             rows = np.stack([statistics(data[at[i] : at[i + 1]]) for i in range(batch.num_rows)]) if batch.num_rows else np.zeros((0, len(STATISTICS)))
             x = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * len(STATISTICS), pa.int32()), pa.array(rows.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), x], names=["label", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), x], names=["label", "fold", "x"])
 
-    return docs.select(F.col(label).cast("double").alias("label"), text_or_empty().alias("text")).mapInArrow(run, "label double, x array<double>")
+    fold = F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int").alias("fold")
+    return docs.select(F.col(label).cast("double").alias("label"), text_or_empty().alias("text"), fold).mapInArrow(run, "label double, fold int, x array<double>")
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -167,12 +170,15 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
     width = FEATURES + 2
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((FEATURES + 1, width))
+        total = np.zeros((FOLDS, FEATURES + 1, width))
         for batch in batches:
-            f = model.features(matrix(batch.column(1)))
-            total += f.T @ np.concatenate((f, batch.column(0).to_numpy()[:, None]), axis=1)
+            fold, label_, f = batch.column(1).to_numpy(), batch.column(0).to_numpy(), model.features(matrix(batch.column(2)))
+            for k in range(FOLDS):
+                g = f[fold == k]
+                total[k] += g.T @ np.concatenate((g, label_[fold == k, None]), axis=1)
         stripes = np.array_split(np.arange(FEATURES + 1), STRIPES)
-        yield pa.RecordBatch.from_arrays([pa.array(range(STRIPES), pa.int32()), pa.array([total[s].tobytes() for s in stripes], pa.binary())], names=["stripe", "part"])
+        parts = [(k * STRIPES + i, total[k, s].tobytes()) for k in range(FOLDS) for i, s in enumerate(stripes)]
+        yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in parts], pa.int32()), pa.array([p for _, p in parts], pa.binary())], names=["stripe", "part"])
 
     def add(parts: pa.Table) -> pa.Table:
         total = None
@@ -182,15 +188,21 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
         return pa.table({"stripe": parts.column("stripe").slice(0, 1), "part": pa.array([total.tobytes()], pa.binary())})
 
     sums = data.mapInArrow(partial, "stripe int, part binary").groupBy("stripe").applyInArrow(add, "stripe int, part binary").collect()
-    whole = np.concatenate([np.frombuffer(r["part"]).reshape(-1, width) for r in sorted(sums, key=lambda r: r["stripe"])])
-    penalty = np.full(FEATURES + 1, RIDGE * got[0])
-    penalty[0] = 1e-9 * got[0]
-    beta = np.linalg.solve(whole[:, :-1] + np.diag(penalty), whole[:, -1])
-    model = Model(mean, scale, weight, phase, beta, np.zeros(1), np.full(1, 0.5))
+    each = np.concatenate([np.frombuffer(r["part"]).reshape(-1, width) for r in sorted(sums, key=lambda r: r["stripe"])]).reshape(FOLDS, FEATURES + 1, width)
+
+    def solved(equations: np.ndarray) -> np.ndarray:
+        n = max(equations[0, 0], 1.0)  # the constant feature counts the rows
+        penalty = np.full(FEATURES + 1, RIDGE * n)
+        penalty[0] = 1e-9 * n
+        return np.linalg.solve(equations[:, :-1] + np.diag(penalty), equations[:, -1])
+
+    whole = each.sum(0)
+    beta = solved(whole)
+    others = np.stack([solved(whole - e) for e in each])
 
     def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = model.raw(matrix(batch.column(1)))
+            raw = (model.features(matrix(batch.column(2))) * others[batch.column(1).to_numpy()]).sum(1)
             bin_ = np.clip(np.floor((raw + 0.5) / 2 * BINS), 0, BINS - 1).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(bin_), pa.array(raw), batch.column(0)], names=["bin", "raw", "label"])
 

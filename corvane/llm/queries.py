@@ -65,7 +65,7 @@ def queries() -> dict[str, Query]:
 
 OP2 = r"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-                  md5('7:' || coalesce(doc_id::VARCHAR, '')) AS o FROM documents),
+                  md5('7:' || coalesce(doc_id::VARCHAR, md5(coalesce(text, '')))) AS o FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, [3.0, 1.0, 2.0][((row_number() OVER (ORDER BY source NULLS LAST)) - 1) % 3 + 1]::DOUBLE AS w FROM d GROUP BY source),
 k AS (SELECT *, 2.0::DOUBLE * source_size AS cap, row_number() OVER (ORDER BY 2.0::DOUBLE * source_size / w, source NULLS LAST) AS i FROM s),
 r AS (SELECT *, 1.5::DOUBLE * sum(source_size) OVER () AS aim, coalesce(sum(cap) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used,

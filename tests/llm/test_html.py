@@ -2,7 +2,11 @@
 
 import html as H
 import re
+import time
 
+import pytest
+
+from corvane.llm import html as rules
 from corvane.llm.html import extract, main_text
 
 
@@ -63,3 +67,55 @@ def test_teaser_article_does_not_hide_the_body():
     assert main_text(f'<body><div><p>{body}</p></div><article class="related"><p>{body}{body}{body}</p></article></body>') == text
     assert main_text(f'<body><article class="share"><p>{body}</p></article></body>') == text
     assert main_text(f'<body><article><p>{body}</p><p>{body}</p></article><div><p>{body}</p></div></body>') == f"{text}\n\n{text}"
+
+
+LONG = "The river rose for three days, and on the fourth it broke through the wall that the town had built after the flood of the last century; many of the people who lived by it were gone by then. "
+PLAIN = "Item 4711 Gearbox Steel Cast Iron Flange Bolts Washers Seals Bearings Housing Shaft Pulley Belt Chain Sprocket Motor Pump Valve Filter Hose Clamp Nozzle Gauge Meter Sensor Switch Relay Fuse Cable Plug Socket Lamp Panel Frame Cover"
+
+
+def test_boxes_in_an_article_that_only_sound_like_something_else():
+    text = LONG.strip()
+    for box in ('<div class="search-results">', '<section id="social-history">', '<div class="widget-guide">', '<div class="related-work">'):
+        assert main_text(f"<article><p>{text}</p>{box}<h2>Head</h2><p>{text}</p></article>") == f"{text}\n\nHead\n\n{text}"
+    links = "".join(f'<li><a href="/{i}">Another story {i}</a></li>' for i in range(9))
+    assert main_text(f'<article><p>{text}</p><div class="related"><h3>Read on</h3><ul>{links}</ul></div></article>') == text
+    assert main_text(f'<article><p>{text}</p><div class="comments"><p>{text}</p></div><div class="advert"><p>{text}</p></div></article>') == text
+
+
+@pytest.mark.parametrize(
+    "name,value,page",
+    [
+        ("STOP", frozenset(), f"<body><div><p>{LONG[:150]} <a href=1>{LONG[:50]}</a></p><p>{LONG}{LONG}</p></div></body>"),
+        ("LINKS", 2.0, f'<body><article><p>{LONG}</p><p><a href=1>{LONG[:90]}</a> <a href=2>{LONG[:90]}</a></p></article></body>'),
+        ("SHORT", 0, f"<body><div><p>See <a href=1>x</a> too</p></div><div><p>{LONG}{LONG}</p></div></body>"),
+        ("LONG", 10_000, f"<body><div><p>{LONG}{LONG}</p></div></body>"),
+        ("FEW", -1.0, f"<body><div><p>{PLAIN}</p></div></body>"),
+    ],
+)
+def test_each_rule_decides(monkeypatch, name, value, page):
+    """Without one of the rules, some page gives another text."""
+    before = main_text(page)
+    monkeypatch.setattr(rules, name, value)
+    assert main_text(page) != before
+
+
+def test_second_pass_decides(monkeypatch):
+    page = f"<body><div><p>{LONG}{LONG}</p><p>Short line</p><p>{LONG}{LONG}</p></div></body>"
+    assert "Short line" in main_text(page)
+    monkeypatch.setattr(rules, "labelled", lambda found: [rules.decide(b) for b in found])
+    assert "Short line" not in main_text(page)
+
+
+@pytest.mark.parametrize("piece", ['<a href="x" ', "<a ", "<button>", "<noscript>x", "<div>", "</table>", "<!-- ", "<", "<a \">\" ", "<p class='", "<x>" * 3 + "</y>", "<svg>", "<![if x", "class" + " " * 50, "<div id=a ad ad=", "&amp", "<head>", "<div></span>"])
+def test_broken_pages_take_linear_time(piece):
+    page = "<p>Begin</p>" + piece * (1_000_000 // len(piece))
+    for end in ("", ">", '">'):
+        began = time.time()
+        main_text(page + end)
+        assert time.time() - began < 6
+
+
+def test_megabyte_of_unclosed_tags_under_a_second():
+    began = time.time()
+    main_text('<a href="x" ' * (1_000_000 // 12))
+    assert time.time() - began < 1

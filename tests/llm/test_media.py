@@ -4,6 +4,7 @@ import hashlib
 import io
 import struct
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -59,18 +60,45 @@ def test_area_resize_is_the_mean_over_boxes():
     assert np.allclose(media.area_resize(x, 24, 10), np.repeat(x, 2, 0))
 
 
+def saved(tile):
+    out = io.BytesIO()
+    np.save(out, tile)
+    return out.getvalue()
+
+
+def plain_hash(image):
+    """The difference hash from exact means over fractional boxes."""
+    h, w = len(image), len(image[0])
+    share = lambda n, parts, i: [max(0, min(Fraction(n * (i + 1), parts), k + 1) - max(Fraction(n * i, parts), k)) for k in range(n)]
+    columns = [share(w, 9, j) for j in range(9)]
+    bits = ""
+    for i in range(8):
+        row = [sum(int(x) * f for x, f in zip(column, share(h, 8, i), strict=True) if f) for column in zip(*image.tolist(), strict=True)]
+        means = [sum(x * f for x, f in zip(row, c, strict=True) if f) for c in columns]
+        bits += "".join("01"[b > a] for a, b in zip(means, means[1:], strict=False))
+    return f"{int(bits, 2):016x}"
+
+
+def test_difference_hash_against_exact_means():
+    r = np.random.default_rng(6)
+    for shape in ((1, 64), (3, 64), (8, 9), (40, 64), (5, 3)):
+        image = r.integers(0, 256, shape).astype(np.uint8)
+        assert media.difference_hash(image) == plain_hash(image)
+
+
 def test_payloads(spark):
-    rows = [(1, "abc"), (2, None), (3, ""), (None, "é" * 64), (4, "x" * 64), (5, "x" * 300_000), (6, "abc")]
+    rows = [(1, "abc"), (2, None), (3, ""), (None, "é" * 64), (4, "x" * 64), (5, "xy" * 40_000), (6, "abc")]
     docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, media int")
     got = {r.doc_id: r for r in media.digests(media.text_media(docs)).collect()}
     for d, t in rows:
         raw = (t or "").encode()
         padded = raw + b"\0" * ((-len(raw) % 64) or (0 if raw else 64))
-        stored = b"P5\n64 %d\n255\n" % (len(padded) // 64) + padded
+        image = np.frombuffer(padded, np.uint8).reshape(-1, 64)
+        stored = b"".join(saved(image[i : i + 1024]) for i in range(0, len(image), 1024))
         r = got[d]
         assert (r.n_bytes, r.payload_bytes, r.media_bytes) == (len(raw), len(padded), len(stored))
         assert r.payload_sha256 == hashlib.sha256(padded).hexdigest() and r.media_sha256 == hashlib.sha256(stored).hexdigest()
-        assert r.tail_crc32 == zlib.crc32(padded[-64:]) and len(r.feature) == 16
+        assert r.tail_crc32 == zlib.crc32(padded[-64:]) and r.feature == plain_hash(image)
     assert got[1].feature == got[6].feature
     assert media.digests(media.text_media(docs.limit(0))).collect() == []
 

@@ -4,6 +4,8 @@ import zlib
 
 import numpy as np
 
+from pyspark.sql import functions as F
+
 from corvane.llm import quality
 
 
@@ -42,3 +44,40 @@ def test_odd_rows(spark):
 
 def test_isotonic():
     assert quality.isotonic(np.array([0.1, 0.5, 0.3, 0.2, 0.9]), np.ones(5)).round(9).tolist() == [0.1, *[round(1 / 3, 9)] * 3, 0.9]
+
+
+def test_fit_against_a_plain_solve(spark):
+    """Statistics' moments, equations of folds and the calibration, without partitions."""
+    import math
+
+    import numpy as np
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    model = quality.fit(docs.repartition(5), labels)
+    fold = F.pmod(F.xxhash64("doc_id"), F.lit(quality.FOLDS)).alias("fold")
+    rows = docs.join(labels.where(~quality.held_out(F.col("doc_id"))), "doc_id").where("quality is not null").select("text", "quality", fold).collect()
+    x = np.array([quality.statistics(np.frombuffer(r.text.encode(), np.uint8)) for r in rows])
+    y, folds = np.array([float(r.quality) for r in rows]), np.array([r.fold for r in rows])
+    deviation = np.where(x.std(0) > 1e-9, x.std(0), 1.0)
+    assert np.allclose(model.mean, x.mean(0)) and np.allclose(model.scale, deviation)
+    z = np.clip((x - x.mean(0)) / deviation, -8, 8)
+    f = np.array([[1.0, *(math.sqrt(2 / quality.FEATURES) * math.cos(v) for v in row)] for row in z @ model.weight + model.phase])
+
+    def solve(of):
+        ridge = np.eye(f.shape[1]) * quality.RIDGE * of.sum()
+        ridge[0, 0] = 1e-9 * of.sum()
+        return np.linalg.solve(f[of].T @ f[of] + ridge, f[of].T @ y[of])
+
+    beta = solve(np.ones(len(y), bool))
+    assert np.allclose(f @ model.beta, f @ beta, atol=1e-6)
+    raw = np.zeros(len(y))
+    for k in range(quality.FOLDS):
+        raw[folds == k] = f[folds == k] @ solve(folds != k)
+    bins = np.clip(np.floor((raw + 0.5) / 2 * quality.BINS), 0, quality.BINS - 1)
+    means = [(raw[bins == b].mean(), y[bins == b].mean(), (bins == b).sum()) for b in np.unique(bins)]
+    knots, values, n = map(np.array, zip(*means, strict=True))
+    fitted = values.astype(float)
+    for i in range(len(fitted)):  # the min-max formula of isotonic regression
+        fitted[i] = max(min(np.average(values[a : b + 1], weights=n[a : b + 1]) for b in range(i, len(values))) for a in range(i + 1))
+    assert np.allclose(model.knots, knots, atol=1e-6) and np.allclose(model.values, fitted, atol=1e-6)

@@ -5,6 +5,8 @@ import random
 import numpy as np
 import xxhash
 
+from pyspark.sql import functions as F
+
 from corvane.llm import simhash
 
 
@@ -97,3 +99,16 @@ def test_components_of_a_chain(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, 101), (101, 100), (7, 7), (None, 3)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**dict.fromkeys(range(51), 0), 100: 100, 101: 100}
+
+
+def test_names_that_clash_and_rows_that_share_an_id(spark):
+    rows = [(1, "a b c d", "x", 1), (1, "a b c e f g", "y", 2), (None, "q r s t", "z", 3), (None, "q r s t", "w", 4), (5, "a b c d", "v", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _root string, _fp int").withColumn("_doc", F.lit(1)).withColumn("_n", F.lit(2)).withColumn("_row", F.lit(3))
+    got = [sorted(map(repr, simhash.deduplicated(docs.repartition(n)).collect())) for n in (1, 3)]
+    assert got[0] == got[1] and len(got[0]) == 2
+
+
+def test_the_largest_id_is_an_id(spark):
+    docs = spark.createDataFrame([((1 << 63) - 1, "a b c"), (None, "a b c"), (None, "d e f g")], "doc_id long, text string")
+    got = sorted(((r.doc_id, r.component_id) for r in simhash.groups(docs).collect()), key=repr)
+    assert got == sorted([((1 << 63) - 1, (1 << 63) - 1), (None, (1 << 63) - 1), (None, None)], key=repr)

@@ -77,3 +77,40 @@ def test_relative_targets(spark):
     assert {b for _, b in edges} == {"http://example.com/de/new", "https://spam.net/a", "http://example.com/de/x?a=1&b=2", "http://example.com/de/y", "http://[/"}
     got = {r.page_id: r.verdict for r in urls.judge(pages, urls.page_edges(pages), RULES).collect()}
     assert got == {1: "block", 2: "block", 3: "block", 4: "block", 5: "allow", 6: "allow"}
+
+
+def test_tags_alone_make_edges():
+    at = lambda h: urls.targets(h)[1]
+    assert at('<link rel="nofollow canonical" href="http://a.io/">') == at("<LINK HREF='http://a.io/' REL=Canonical>") == at('<link title="a > b" rel="canonical" href="http://a.io/">') == ["http://a.io/"]
+    for hidden in ('<!-- <link rel="canonical" href="http://a.io/"> -->', '<script>"<link rel=canonical href=http://a.io/>"</script>', '<link rel="canonically" href="http://a.io/">', '<link rel="canonical">', '<meta http-equiv="refresh" content="5">'):
+        assert at(hidden) == []
+    assert at("<meta http-equiv=Refresh content='0;URL=\"http://a.io/?a=1&amp;b=2\"'>") == ["http://a.io/?a=1&b=2"]
+
+
+def test_thousands_of_pages_with_chains_and_hubs(spark, tmp_path):
+    """Long chains of redirects, a hub that very many pages name, loops and shared targets, against the SQL."""
+    import duckdb
+
+    from corvane.llm import queries
+
+    link = lambda u: f'<link rel="canonical" href="{u}">'
+    rows = []
+    for i in range(2000):  # a hub, undecided itself, of which one alias is blocked
+        rows.append((f"http://hub{i % 7}.io/{i}", link("http://hub.io/")))
+    rows.append(("http://hub.io/", link("http://spam.net/x")))
+    for c in range(20):  # chains of 60 pages; the end of every other is decided, of every sixth by an allow too
+        for i in range(60):
+            to = f"http://c{c}.io/{i + 1}" if i < 59 else (f"http://spam.net/{c}" if c % 2 else "http://c.io/end")
+            rows.append((f"http://c{c}.io/{i}", link(to)))
+        if c % 6 == 1:
+            rows.append((f"http://c{c}.io/30", link("http://x.org/fr/")))
+    for i in range(300):  # loops
+        rows.append((f"http://loop.io/{i}", link(f"http://loop.io/{(i + 1) % 300}")))
+    rows += [(f"http://lone{i}.io/", "") for i in range(500)]
+    spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(rows)], "page_id long, url string, html string").repartition(4).write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: r.verdict for r in queries.op6_urls(spark, str(tmp_path)).collect()}
+    block = lambda u: u.startswith("http://hub") or (u.startswith("http://c") and "://c." not in u and int(u[8:].split(".")[0]) % 2 == 1 and int(u[8:].split(".")[0]) % 6 != 1)
+    assert got == {i: "block" if block(u) else "allow" for i, (u, _) in enumerate(rows)}
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet' where url like '%loop%' or url like '%lone%' or url like '%c1.io%'")
+    assert {r[0]: r[4] for r in con.execute(queries.OP6).fetchall()}.items() <= got.items()
