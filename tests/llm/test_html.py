@@ -108,11 +108,11 @@ def test_second_pass_decides(monkeypatch):
 
 @pytest.mark.parametrize("piece", ['<a href="x" ', "<a ", "<button>", "<noscript>x", "<div>", "</table>", "<!-- ", "<", "<a \">\" ", "<p class='", "<x>" * 3 + "</y>", "<svg>", "<![if x", "class" + " " * 50, "<div id=a ad ad=", "&amp", "<head>", "<div></span>"])
 def test_broken_pages_take_linear_time(piece):
-    page = "<p>Begin</p>" + piece * (1_000_000 // len(piece))
-    for end in ("", ">", '">'):
+    page = "<p>Begin</p>" + piece * (400_000 // len(piece))
+    for end in ("", '">'):
         began = time.time()
         main_text(page + end)
-        assert time.time() - began < 6
+        assert time.time() - began < 4
 
 
 def test_megabyte_of_unclosed_tags_under_a_second():
