@@ -110,7 +110,7 @@ def answer(questions: DataFrame, sources: DataFrame, generate: Generate = quotin
     found = sources.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "page_id", "title", "url", "last_modified", line.alias("line")))).alias("sources"))
     asked = materialised(questions.where(strip(blank(F.col("question"))) != "").select("qid", "question").join(found, "qid", "left"))
     context = F.array_join(F.transform("sources", lambda s: s["line"]), SOURCE_SEPARATOR)
-    told = asked.where("sources is not null").withColumn("answer", gated(generate(F.col("question"), context)))
+    told = asked.where("sources is not null").withColumn("said", generate(F.col("question"), context)).withColumn("answer", gated(F.col("said")))
     none = F.array().cast(f"array<{CITATION}>")
     good = F.col("answer") != NO_CONTEXT
     named = F.transform(cited(F.col("answer"), F.col("sources")), lambda c: F.struct(c["title"].alias("title"), c["url"].alias("url"), c["last_modified"].alias("last_modified"), c["page_id"].alias("page_id")))

@@ -50,6 +50,16 @@ def test_without_the_pipeline_subpackage(tmp_path):
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
 
 
+def test_with_a_broken_pipeline_subpackage(tmp_path):
+    """What is left of the folder, or a dependency that is missing, takes no other query along."""
+    shutil.copytree(ROOT / "corvane", tmp_path / "corvane", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    (tmp_path / "corvane" / "llm" / "__pycache__").mkdir(parents=True)
+    shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
+    (tmp_path / "corpus_pipeline.py").write_text("import no_such_dependency\n")
+    code = "import __spark_entry__ as e; q = e.queries(); assert 'bm25_search' in q and 'pipeline' not in q"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
+
+
 def test_payload_of_pages_without_title(spark, tmp_path):
     rows = [(1, "\nbody", "s"), (2, None, "s"), (3, "T\nx", "s")]
     spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "'en' as lang", "1L as n_chars").write.parquet(f"{tmp_path}/documents.parquet")

@@ -49,6 +49,69 @@ def test_answers(spark):
         assert (r.answer, r.used_context, r.citations) == (A.NO_CONTEXT, False, [])
 
 
+def test_the_generator_runs_once_a_question(spark):
+    """And never for questions without sources."""
+    import pandas as pd
+    from pyspark.sql.functions import pandas_udf
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def generate(question, context):
+        @pandas_udf("string")
+        def say(q: pd.Series, c: pd.Series) -> pd.Series:
+            seen.add(len(q))
+            assert c.notna().all()
+            return q + " [1]"
+
+        return say(question, context)
+
+    asked = spark.createDataFrame([(f"q{i}", f"Was {i}?") for i in range(20)] + [("bare", "Wie?")], "qid string, question string")
+    many = asked.where("qid <> 'bare'").crossJoin(sources(spark).drop("qid"))
+    got = A.answer(asked, many, generate).collect()
+    assert len(got) == 21 and sum(r.used_context for r in got) == 20 and all(len(r.citations) == r.used_context for r in got)
+    assert seen.value == 20
+
+
+def test_bm25_against_plain_sums(spark):
+    """Texts of all lengths, repeated and empty ones, questions without a known term, from texts and from stored terms."""
+    import math
+    import random
+    import re
+    from collections import Counter
+
+    from corvane.operators.index import with_sparse
+
+    r = random.Random(3)
+    texts = [(i, " ".join(r.choice(["alpha", "beta", "Gamma", "delta,", "épsilon", "x1"]) for _ in range(r.randint(0, 30)))) for i in range(60)] + [(90, None), (91, "...")]
+    asked = [(0, "alpha beta"), (1, "Épsilon X1 x1"), (2, "nothing here"), (3, ""), (4, None)]
+    df = spark.createDataFrame(texts, "key long, text string").repartition(3)
+    words = {k: re.findall(r"[^\W_]+", (t or "").lower()) for k, t in texts}
+    mean = sum(map(len, words.values())) / len(words)
+    want = {}
+    for q, text in asked:
+        for t in dict.fromkeys(re.findall(r"[^\W_]+", (text or "").lower())):
+            n = sum(t in w for w in words.values())
+            for k, w in words.items():
+                if tf := Counter(w)[t]:
+                    want[q, k] = want.get((q, k), 0) + math.log(1 + (len(words) - n + 0.5) / (n + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(w) / mean))
+    questions = spark.createDataFrame(asked, "qid int, question string")
+    for frame in (df, with_sparse(df)):
+        got = {(x.qid, x.key): x.score for x in search.bm25(questions, frame, 1000, key="key").collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - v) < 1e-9 for k, v in want.items())
+        top = search.bm25(questions, frame, 3, key="key").collect()
+        assert {(x.qid, x.key) for x in top} == {(q, k) for q in range(5) for _, k in sorted((-s, k) for (p, k), s in want.items() if p == q)[:3]}
+    stored = {x.key: dict(zip(x.terms, x.tfs, strict=True)) for x in with_sparse(df).collect()}
+    assert stored == {k: dict(Counter(w)) for k, w in words.items()}
+
+
+def test_dense_leaves_out_what_has_no_direction(spark):
+    rows = [(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [1.0, None]), (5, [1.0, 1.0, 1.0]), (6, [-1e200, 1e-200]), (7, [2.0, 0.0])]
+    df = spark.createDataFrame(rows, "key long, vec array<double>")
+    asked = spark.createDataFrame([(0, [3.0, 0.0]), (1, None), (2, [0.0, 0.0])], "qid int, qvec array<double>")
+    got = [(r.qid, r.key, r.score, r["rank"]) for r in search.dense(asked, df, 2, key="key", vector="vec").orderBy("rank").collect()]
+    assert got == [(0, 1, 1.0, 1), (0, 7, 1.0, 2)]
+
+
 def test_source_block(spark):
     [r] = A.source_blocks(sources(spark)).collect()
     assert r.context.startswith("[1] Titel: T1 | URL: u1\ntext 1\n\n---\n\n[2] Titel: T2") and r.n == 4
