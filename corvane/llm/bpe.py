@@ -22,7 +22,7 @@ from .common import text_or_empty
 
 #: Entries of a worker's tables of pre-tokens and of fragments. A full table is put aside and serves until the next one
 #: is full, so that what is frequent stays.
-TABLE = 50_000
+TABLE = 100_000
 #: The split pattern of this family of byte-level tokenizers; a fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
