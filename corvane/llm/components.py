@@ -9,6 +9,8 @@ from .common import checkpointed
 
 #: A key that has more than one in so many of all rows is hot. So there are no more hot keys than this, which bounds what is broadcast.
 HOT_KEYS = 1000
+#: Edges that one task of a round takes at least, so that rounds over few edges write few files.
+EDGES_A_TASK = 1 << 17
 
 
 def join_hot(rows: DataFrame, keyed: DataFrame, key: str, count: str, total: int) -> DataFrame:
@@ -25,7 +27,7 @@ def join_hot(rows: DataFrame, keyed: DataFrame, key: str, count: str, total: int
 
 def _large(e: DataFrame, total: int) -> DataFrame:
     """Link every larger neighbour of a node to the node's least neighbour, itself counted."""
-    both = e.select("a", "b").union(e.select(F.col("b"), F.col("a")))
+    both = e.select(F.inline(F.array(F.struct(F.col("a").alias("a"), F.col("b").alias("b")), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))))
     least = both.groupBy("a").agg(F.least(F.min("b"), "a").alias("m"), F.count("*").alias("n"))
     return join_hot(both, least, "a", "n", 2 * total).where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
 
@@ -41,7 +43,8 @@ def components(edges: DataFrame) -> DataFrame:
     """edges (a, b) of one orderable type; the result (node, root) has one row for each node that an edge to another node touches, root being the least node of its component.
 
     Each round is two joins on a node, of which hubs are met by a bounded broadcast, and each join ends in a checkpoint; the
-    number of rounds grows with the logarithm of the longest chain. Nulls, loops and repeated edges do no harm.
+    number of rounds grows with the logarithm of the longest chain. A round has as many tasks as EDGES_A_TASK and the shuffles'
+    partitions allow, one without a shuffle if the edges are few. Nulls, loops and repeated edges do no harm.
     """
     good = edges.where("a is not null and b is not null and a <> b")
     e = checkpointed(good.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
@@ -51,6 +54,7 @@ def components(edges: DataFrame) -> DataFrame:
         if now == seen or not now[0]:
             break
         seen = now
-        star = checkpointed(_large(e, now[0]).distinct())
-        e = checkpointed(_small(star, star.count()).distinct())
+        tasks = -(-now[0] // EDGES_A_TASK)
+        star = checkpointed(_large(e.coalesce(tasks), now[0]).coalesce(tasks).distinct())
+        e = checkpointed(_small(star.coalesce(tasks), star.count()).coalesce(tasks).distinct())
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(e.select(F.col("b"), F.col("b"))).distinct()
