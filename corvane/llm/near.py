@@ -1,6 +1,9 @@
-"""Near copies by the Jaccard similarity of word shingles, without a loss.
+"""Near copies by SimHash, checked and completed by the Jaccard similarity of word shingles, without a loss.
 
-A text is the set of its shingles of five words; equal sets meet as one *key*. If two sets have similarity t, each
+A text is the set of its shingles of five words; equal sets meet as one *key*. First the SimHash fingerprints of the sets meet
+by pigeonring filtering, as in op8, and the pairs of a spanning forest of those within DISTANCE bits are compared exactly.
+Sets of the similarity can lie further apart than any number of bits that a filter could bound, so a second step looks for
+what the first has not connected. If two sets have similarity t, each
 holds at least t of the other, so in any one order of all shingles their first |S| - ceil(t |S|) + 1 share one (prefix
 filtering). The order puts shingles that batches see often last, the most frequent at the very end; which these are bears
 on time only. Pairs that meet are
@@ -21,8 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import buffers, checkpointed, text_or_empty
-from .components import components
-from .simhash import kept, rooted
+from .components import components, join_hot
+from .simhash import kept, links, majority, rooted
 from .windows import PIECE, UNBASE, U, mix, part, powers, prefix, starts_of, whole_groups, word_tokens
 
 SHINGLE = 5
@@ -86,16 +89,17 @@ def differing(x: bytes, y: bytes) -> int:
 
 
 def keys(docs: DataFrame) -> DataFrame:
-    """(doc, fp, size, sketch, short) of each row, fp being the key of its set, short its sketch as large buckets hold it."""
+    """(doc, fp, size, sketch, short, print) of each row, fp being the key of its set, short its sketch as large buckets hold it, print its SimHash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = shingles(*buffers(batch.column(1)))
             sketches = list(map(sketch, sets))
             columns = [pa.array(map(key_of, sets), pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array(sketches, pa.binary()), pa.array(map(short, sketches), pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc", "fp", "size", "sketch", "short"])
+            prints = np.fromiter(map(majority, sets), U, len(sets)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, pa.array(prints)], names=["doc", "fp", "size", "sketch", "short", "print"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc"), text_or_empty().alias("text")).mapInArrow(run, "doc long, fp long, size long, sketch binary, short binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc"), text_or_empty().alias("text")).mapInArrow(run, "doc long, fp long, size long, sketch binary, short binary, print long")
 
 
 def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -313,9 +317,31 @@ def keyed_texts(docs: DataFrame, members: DataFrame) -> DataFrame:
     return made.join(members.hint("shuffle_hash"), "fp", "left_semi").dropDuplicates(["fp"])
 
 
+def close_prints(sets: DataFrame) -> DataFrame:
+    """sets (fp, print), distinct: pairs (a, b) of keys that connect all sets whose SimHashes are equal or at DISTANCE at most, as a forest; what a chain connects may be further apart."""
+    one = checkpointed(sets.groupBy("print").agg(F.min("fp").alias("set"), F.count("*").alias("n")))
+    total = one.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    same = join_hot(sets, one, "print", "n", total).where("fp <> set").select(F.col("set").alias("a"), F.col("fp").alias("b"))
+    close = checkpointed(links(one.select(F.col("print").alias("fp"))).distinct())
+    total = close.count()
+    if not total:
+        return same
+    for end in ("a", "b"):  # from prints to the one set that stands for each
+        many = close.groupBy(end).agg(F.count("*").alias("n")).join(one.select(F.col("print").alias(end), "set"), end)
+        close = join_hot(close, many, end, "n", total).drop(end).withColumnRenamed("set", end)
+    return same.unionByName(close.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+
+
+def apart(pairs: DataFrame, linked: DataFrame) -> DataFrame:
+    """The pairs (a, b) of keys that the edges ``linked`` do not connect."""
+    found = checkpointed(components(linked))
+    x, y = (found.select(F.col("node").alias(end), F.col("root").alias(f"_{end}")) for end in ("a", "b"))
+    both = pairs.join(x, "a", "left").join(y, "b", "left")
+    return both.where(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b")
+
+
 def edges(docs: DataFrame, keyed: DataFrame) -> DataFrame:
     """Edges (a, b) of keys that connect all sets of the similarity. keyed: ``keys`` of docs."""
-    met = checkpointed(candidates(first_shingles(docs, *common_shingles(docs))).distinct())
     sketches = keyed.select("fp", "size", "sketch").dropDuplicates(["fp"])
     shorts = keyed.select("fp", "short").dropDuplicates(["fp"])
 
@@ -324,7 +350,9 @@ def edges(docs: DataFrame, keyed: DataFrame) -> DataFrame:
         members = good.select(F.col("a").alias("fp")).union(good.select("b")).distinct()
         return checkpointed(near(good, checkpointed(keyed_texts(docs, members))))
 
-    linked = linking(met.where("b is not null").select("a", "b"))
+    linked = linking(close_prints(keyed.select("fp", "print").distinct()))
+    met = checkpointed(candidates(first_shingles(docs, *common_shingles(docs))).distinct())
+    linked = linked.unionByName(linking(apart(met.where("b is not null").select("a", "b"), linked)))
     large = met.where("b is null").select("sh", F.col("a").alias("fp"), "size", "block", "low", "high").join(shorts, "fp")
     if large.isEmpty():
         return linked

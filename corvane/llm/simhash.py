@@ -25,6 +25,15 @@ SEGMENTS, DISTANCE, SHINGLE, SEED = 16, 3, 3, 42
 DIRECT = 256
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in over half of the hashes."""
+    ones = np.zeros(64, np.int64)
+    for lo in range(0, len(hashes), 1 << 15):
+        part = hashes[lo : lo + (1 << 15)]
+        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int32)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+
+
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     """Majority of the bits of the shingles' XXH64; 0 without words."""
     words = text.lower().split()
@@ -37,11 +46,7 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     first, last = start[: len(words) - m + 1].tolist(), (start + size)[m - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
     hashes = np.fromiter((digest(flat[a:b], SEED) for a, b in zip(first, last, strict=True)), U, len(first))
-    ones = np.zeros(64, np.int64)
-    for lo in range(0, len(hashes), 1 << 15):
-        part = hashes[lo : lo + (1 << 15)]
-        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int32)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+    return majority(hashes)
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:

@@ -85,3 +85,36 @@ def test_near_copies_beyond_three_bits(spark):
     """Documents 145 and 6, 177 and 1 of the smallest tables have similarity 0.83 and lie further apart than three bits."""
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("doc_id in (1, 6, 145, 177)")
     assert sorted(r.doc_id for r in corpus_pipeline.simhash_stage(spark, docs, "").collect()) == [1, 6]
+
+
+def test_simhash_meets_first_and_the_rest_completes(spark, monkeypatch):
+    """Pairs within three bits come from the fingerprints, and what those connect is not compared again."""
+    r = random.Random(11)
+    base = [[f"w{r.randrange(5000)}" for _ in range(400)] for _ in range(30)]
+    texts = [" ".join(w) for w in base]
+    for w in base:
+        for n in (1, 2, 12):
+            v = list(w)
+            for i in r.sample(range(400), n):
+                v[i] = f"x{r.randrange(5000)}"
+            texts.append(" ".join(v))
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], COLUMNS).repartition(3)
+    keyed = near.keys(docs)
+    prints = {x.fp: x.print % 2**64 for x in keyed.collect()}
+    close = {frozenset(p) for p in combinations(prints, 2) if (prints[p[0]] ^ prints[p[1]]).bit_count() <= 3}
+    met = {frozenset((x.a, x.b)) for x in near.close_prints(keyed.select("fp", "print").distinct()).collect()}
+    assert met and near_groups(met) == near_groups(close) and len(near_groups(close)) <= 30
+    seen = []
+    whole = near.likely
+    monkeypatch.setattr(near, "likely", lambda pairs, sketches: (seen.append({frozenset((x.a, x.b)) for x in pairs.collect()}), whole(pairs, sketches))[1])
+    linked = {frozenset((x.a, x.b)) for x in near.edges(docs, keyed).collect()}
+    assert seen[0] == met and seen[1] and not any(p <= g for p in seen[1] for g in near_groups(met & linked))
+    check(spark, list(enumerate(texts)))
+
+
+def near_groups(pairs):
+    groups = []
+    for p in pairs:
+        hit = [g for g in groups if g & p]
+        groups = [g for g in groups if not g & p] + [frozenset(p).union(*hit)]
+    return set(groups)
