@@ -135,3 +135,27 @@ def test_hybrid_filters_and_blocks(spark, monkeypatch):
     only = search.hybrid(asked, docs, 4, ["s1"]).join(docs, "chunk_id")
     assert {r.space_key for r in only.collect()} == {"s1"}
     assert search.hybrid(asked, docs, 4, []).count() == 20
+
+
+def test_searches_in_small_tiles_find_the_same(spark, monkeypatch):
+    """Tiles of few pairs, common terms by product and others by pairs, copies beyond what is held back: all as in one piece; texts are cut into terms once."""
+    import random
+
+    r = random.Random(5)
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(r.choices(words, range(60, 0, -1), k=r.randint(0, 40))) for _ in range(150)]
+    rows = [(i, "s", texts[i % 100] if i < 200 else texts[i - 200], [r.gauss(0, 1) for _ in range(4)]) for i in range(350)]
+    docs = spark.createDataFrame(rows, "key long, space_key string, text string, dense array<double>").repartition(2).cache()
+    asked = docs.where("key % 5 = 0").selectExpr("key AS qid", "text AS question", "dense AS qvec")
+    legs = lambda: [sorted(map(tuple, f.collect())) for f in (search.bm25(asked, docs, 5, "key", digits=6), search.dense(asked, docs, 5, "key", digits=6))]
+    monkeypatch.setattr(search, "COMMON", 0)
+    whole = legs()
+    for name, value in (("TILE", 300), ("HELD", 0), ("ADDED", 50), ("COMMON", 7), ("QUESTION_BLOCK", 30)):
+        monkeypatch.setattr(search, name, value)
+    cut = []
+    pack = search.packed
+    monkeypatch.setattr(search, "packed", lambda *a: (cut.append(1), pack(*a))[1])
+    assert legs() == whole and len(whole[1]) == 350 and cut == [1]
+    best = search.Best(2, 0.0, search.pa.array([0, 1]), ["qid", "key", "score"], 0.0)
+    out = [b for lo in range(0, 4000, 10) for b in best.add(search.pa.array(range(lo, lo + 10)), search.np.ones((10, 2)))]
+    assert best.n <= best.most and sum(b.num_rows for b in [*out, *best.rest()]) == 8000  # ties are never lost, nor all held
