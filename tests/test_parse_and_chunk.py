@@ -79,3 +79,19 @@ def test_heading_paths_equal_the_stack(spark):
             want[str(page), pos] = " > ".join(t for _, t in stack)
     df = spark.createDataFrame(rows, "page_id string, pos int, kind string, text string, level int")
     assert {(x.page_id, x.pos): x.path for x in heading_paths(df).collect()} == want
+
+
+def test_a_batch_is_parsed_in_parts(monkeypatch):
+    """Of a batch of many pages only a part is Python objects at once, whatever the batch's size; nulls and bad pages stay in place."""
+    import pyarrow as pa
+
+    from corvane.operators import parse
+
+    html = pa.array([None if i % 50 == 0 else f"<p>{i} " + "word " * 400 + "</p>" for i in range(4000)])
+    monkeypatch.setattr(parse, "PART", 7)
+    held = []
+    listed = parse.pa.array
+    monkeypatch.setattr(parse.pa, "array", lambda x, *a: (held.append(len(x)), listed(x, *a))[1])
+    got = parse.in_parts(lambda h: None if h is None else parse.text_of(h).split()[0], pa.string(), html)
+    assert max(held) <= 7 and got.to_pylist() == [None if i % 50 == 0 else str(i) for i in range(4000)]
+    assert len(parse.in_parts(parse.text_of, pa.string(), html.slice(0, 0))) == 0
