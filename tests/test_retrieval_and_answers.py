@@ -159,3 +159,25 @@ def test_searches_in_small_tiles_find_the_same(spark, monkeypatch):
     best = search.Best(2, 0.0, search.pa.array([0, 1]), ["qid", "key", "score"], 0.0)
     out = [b for lo in range(0, 4000, 10) for b in best.add(search.pa.array(range(lo, lo + 10)), search.np.ones((10, 2)))]
     assert best.n <= best.most and sum(b.num_rows for b in [*out, *best.rest()]) == 8000  # ties are never lost, nor all held
+
+
+def test_a_task_scores_in_bounded_memory():
+    """A full block of questions against a batch: no array of all their pairs, which were 64 MB for 2,048 rows, is ever made."""
+    import tracemalloc
+
+    np, pa = search.np, search.pa
+    n, r = search.QUESTION_BLOCK, np.random.default_rng(1)
+    best = search.Best(20, 1e-6, pa.array(range(n)), ["qid", "key", "score"], np.nextafter(0.0, 1.0))
+    key = pa.array(range(search.SCORED))
+    asking, at = np.tile(np.arange(n), 4), np.arange(5) * n
+    tracemalloc.start()
+    rows = []
+    for a, b in search.tiles(pa.RecordBatch.from_arrays([key], names=["key"]), n):
+        rows.append(b - a)
+        scores = np.zeros((b - a, n))
+        search.add_pairs(scores, np.repeat(np.arange(b - a), 4), np.tile(np.arange(4), b - a), r.random(4 * (b - a)), asking, at, np.diff(at))
+        for _ in best.add(key.slice(a, b - a), scores):
+            pass
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(rows) == search.SCORED and max(rows) * n <= search.TILE and peak < 64 << 20, peak
