@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +31,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return shared
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with files in the shared folder, so that a lost executor costs no recomputation."""
+def checkpointed(df: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Cut the lineage with files in the shared folder, ``tasks`` at most, so that a lost executor costs no recomputation."""
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return (df.coalesce(tasks) if tasks else df).checkpoint(eager=True)
+
+
+def tasks_for(spark: SparkSession, amount: int, share: int) -> int:
+    """Tasks, and so files, of a step over this amount at ``share`` a task: two for each core at least. A file of a few rows costs as much as a full one, and on a local disk also a process of the executor that sets its rights."""
+    return max(2 * spark.sparkContext.defaultParallelism, -(-amount // share))
 
 
 def text_or_empty(col: str = "text") -> F.Column:
@@ -50,6 +56,16 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)), at.astype(np.int64)
 
 
+def in_parts(column: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    """Slices (lo, hi) of a string column that hold so many bytes at most, unless one text alone holds more."""
+    at = buffers(column)[1]
+    lo = 0
+    while lo < len(column):
+        hi = max(lo + 1, int(np.searchsorted(at, at[lo] + most, "right")) - 1)
+        yield lo, hi
+        lo = hi
+
+
 def fixed_binary(rows: np.ndarray) -> pa.Array:
     """A 2-D byte array as a binary column, one value a row."""
     n, width = rows.shape

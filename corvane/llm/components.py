@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, tasks_for
 
 #: A key that has more than one in so many of all rows is hot. So there are no more hot keys than this, which bounds what is broadcast.
 HOT_KEYS = 1000
@@ -39,15 +39,16 @@ def _small(e: DataFrame, total: int) -> DataFrame:
     return moved.union(least.select("a", F.col("m").alias("b")))
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, most: int | None = None) -> DataFrame:
     """edges (a, b) of one orderable type; the result (node, root) has one row for each node that an edge to another node touches, root being the least node of its component.
 
     Each round is two joins on a node, of which hubs are met by a bounded broadcast, and each join ends in a checkpoint; the
     number of rounds grows with the logarithm of the longest chain. A round has as many tasks as EDGES_A_TASK and the shuffles'
-    partitions allow, one without a shuffle if the edges are few. Nulls, loops and repeated edges do no harm.
+    partitions allow, one without a shuffle if the edges are few. ``most``: about how many edges there are at most, if that
+    is known, by which the edges themselves are dealt. Nulls, loops and repeated edges do no harm.
     """
     good = edges.where("a is not null and b is not null and a <> b")
-    e = checkpointed(good.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    e = checkpointed(good.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), None if most is None else tasks_for(edges.sparkSession, most, EDGES_A_TASK))
     seen = None
     while True:
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()

@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, checkpointed, text_or_empty
-from .components import components, join_hot
+from .common import buffers, checkpointed, in_parts, tasks_for, text_or_empty
+from .components import EDGES_A_TASK, components, join_hot
 from .simhash import kept, links, majority, rooted
 from .windows import PIECE, UNBASE, U, mix, part, powers, prefix, starts_of, whole_groups, word_tokens
 
@@ -39,6 +39,8 @@ BLOCK = 1024
 SHORT = 256
 #: Shingles go last in the order if batches that hold them OFTEN times sum up to COMMON; at most MOST_COMMON do.
 OFTEN, COMMON, MOST_COMMON = 8, 64, 1 << 16
+#: Bytes of texts of an Arrow batch that are taken up at a time, and shingles of all documents for each task of a step over texts.
+TEXT, SHINGLES_A_TASK = 1 << 21, 1 << 18
 
 
 def shingles(data: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
@@ -93,11 +95,12 @@ def keys(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = shingles(*buffers(batch.column(1)))
-            sketches = list(map(sketch, sets))
-            columns = [pa.array(map(key_of, sets), pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array(sketches, pa.binary()), pa.array(map(short, sketches), pa.binary())]
-            prints = np.fromiter(map(majority, sets), U, len(sets)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, pa.array(prints)], names=["doc", "fp", "size", "sketch", "short", "print"])
+            for lo, hi in in_parts(batch.column(1), TEXT):
+                sets = shingles(*buffers(batch.column(1)[lo:hi]))
+                sketches = list(map(sketch, sets))
+                columns = [pa.array(map(key_of, sets), pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array(sketches, pa.binary()), pa.array(map(short, sketches), pa.binary())]
+                prints = np.fromiter(map(majority, sets), U, len(sets)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], *columns, pa.array(prints)], names=["doc", "fp", "size", "sketch", "short", "print"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc"), text_or_empty().alias("text")).mapInArrow(run, "doc long, fp long, size long, sketch binary, short binary, print long")
 
@@ -107,11 +110,14 @@ def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = shingles(*buffers(batch.column(0)))
-            if sets:
-                sh, n = np.unique(np.concatenate(sets), return_counts=True)
-                often = n >= OFTEN
-                yield pa.RecordBatch.from_arrays([pa.array(sh[often].view(np.int64)), pa.array(n[often].astype(np.int64))], names=["sh", "n"])
+            held = [np.concatenate(shingles(*buffers(batch.column(0)[lo:hi]))) for lo, hi in in_parts(batch.column(0), TEXT)]
+            if held:
+                sh = np.concatenate(held)
+                del held
+                sh.sort()
+                often = np.unique(sh[OFTEN - 1 :][sh[OFTEN - 1 :] == sh[: len(sh) - OFTEN + 1]]) if len(sh) >= OFTEN else sh[:0]
+                n = np.searchsorted(sh, often, "right") - np.searchsorted(sh, often)
+                yield pa.RecordBatch.from_arrays([pa.array(often.view(np.int64)), pa.array(n.astype(np.int64))], names=["sh", "n"])
 
     counted = docs.select(text_or_empty().alias("text")).mapInArrow(run, "sh long, n long").groupBy("sh").agg(F.sum("n").alias("n"))
     rows = counted.where(F.col("n") >= COMMON).orderBy(F.desc("n"), "sh").limit(MOST_COMMON).collect()
@@ -125,19 +131,22 @@ def first_shingles(docs: DataFrame, common: np.ndarray, place: np.ndarray) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = {key_of(s): s for s in shingles(*buffers(batch.column(0)))}
-            if not sets:
-                continue
-            first = []
-            for s in sets.values():
-                n = len(s)
-                if len(common):
-                    i = np.minimum(np.searchsorted(common, s), len(common) - 1)
-                    s = s[np.argsort(np.where(common[i] == s, place[i], -1), kind="stable")]
-                first.append(s[: n + (-NUMERATOR * n // DENOMINATOR) + 1])
-            many = np.array([len(f) for f in first])
-            fp, size = np.array(list(sets), np.int64), np.array([len(s) for s in sets.values()], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(first).view(np.int64)), pa.array(np.repeat(fp, many)), pa.array(np.repeat(size, many))], names=["sh", "fp", "size"])
+            seen: set[int] = set()
+            for lo, hi in in_parts(batch.column(0), TEXT):
+                sets = {k: s for s in shingles(*buffers(batch.column(0)[lo:hi])) if (k := key_of(s)) not in seen}
+                if not sets:
+                    continue
+                seen |= sets.keys()
+                first = []
+                for s in sets.values():
+                    n = len(s)
+                    if len(common):
+                        i = np.minimum(np.searchsorted(common, s), len(common) - 1)
+                        s = s[np.argsort(np.where(common[i] == s, place[i], -1), kind="stable")]
+                    first.append(s[: n + (-NUMERATOR * n // DENOMINATOR) + 1])
+                many = np.array([len(f) for f in first])
+                fp, size = np.array(list(sets), np.int64), np.array([len(s) for s in sets.values()], np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(first).view(np.int64)), pa.array(np.repeat(fp, many)), pa.array(np.repeat(size, many))], names=["sh", "fp", "size"])
 
     return docs.select(text_or_empty().alias("text")).mapInArrow(run, "sh long, fp long, size long")
 
@@ -310,19 +319,19 @@ def keyed_texts(docs: DataFrame, members: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [key_of(s) for s in shingles(*buffers(batch.column(0)))]
+            found = [key_of(s) for lo, hi in in_parts(batch.column(0), TEXT) for s in shingles(*buffers(batch.column(0)[lo:hi]))]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), batch.column(0)], names=["fp", "text"])
 
     made = docs.select(text_or_empty().alias("text")).mapInArrow(run, "fp long, text string")
     return made.join(members.hint("shuffle_hash"), "fp", "left_semi").dropDuplicates(["fp"])
 
 
-def close_prints(sets: DataFrame) -> DataFrame:
+def close_prints(sets: DataFrame, tasks: int | None = None) -> DataFrame:
     """sets (fp, print), distinct: pairs (a, b) of keys that connect all sets whose SimHashes are equal or at DISTANCE at most, as a forest; what a chain connects may be further apart."""
-    one = checkpointed(sets.groupBy("print").agg(F.min("fp").alias("set"), F.count("*").alias("n")))
+    one = checkpointed(sets.groupBy("print").agg(F.min("fp").alias("set"), F.count("*").alias("n")), tasks)
     total = one.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     same = join_hot(sets, one, "print", "n", total).where("fp <> set").select(F.col("set").alias("a"), F.col("fp").alias("b"))
-    close = checkpointed(links(one.select(F.col("print").alias("fp"))).distinct())
+    close = checkpointed(links(one.select(F.col("print").alias("fp"))).distinct(), tasks)
     total = close.count()
     if not total:
         return same
@@ -332,9 +341,9 @@ def close_prints(sets: DataFrame) -> DataFrame:
     return same.unionByName(close.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
 
 
-def apart(pairs: DataFrame, linked: DataFrame) -> DataFrame:
-    """The pairs (a, b) of keys that the edges ``linked`` do not connect."""
-    found = checkpointed(components(linked))
+def apart(pairs: DataFrame, linked: DataFrame, sets: int) -> DataFrame:
+    """The pairs (a, b) of keys, of which there are so many, that the edges ``linked`` do not connect."""
+    found = checkpointed(components(linked, sets), tasks_for(pairs.sparkSession, sets, EDGES_A_TASK))
     x, y = (found.select(F.col("node").alias(end), F.col("root").alias(f"_{end}")) for end in ("a", "b"))
     both = pairs.join(x, "a", "left").join(y, "b", "left")
     return both.where(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b")
@@ -344,22 +353,24 @@ def edges(docs: DataFrame, keyed: DataFrame) -> DataFrame:
     """Edges (a, b) of keys that connect all sets of the similarity. keyed: ``keys`` of docs."""
     sketches = keyed.select("fp", "size", "sketch").dropDuplicates(["fp"])
     shorts = keyed.select("fp", "short").dropDuplicates(["fp"])
+    rows, total = keyed.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    few, many = tasks_for(docs.sparkSession, rows, EDGES_A_TASK), tasks_for(docs.sparkSession, total, SHINGLES_A_TASK)
 
     def linking(pairs: DataFrame) -> DataFrame:
-        good = checkpointed(likely(pairs, sketches))
+        good = checkpointed(likely(pairs, sketches), many)
         members = good.select(F.col("a").alias("fp")).union(good.select("b")).distinct()
-        return checkpointed(near(good, checkpointed(keyed_texts(docs, members))))
+        return checkpointed(near(good, checkpointed(keyed_texts(docs, members), many)), many)
 
-    linked = linking(close_prints(keyed.select("fp", "print").distinct()))
-    met = checkpointed(candidates(first_shingles(docs, *common_shingles(docs))).distinct())
-    linked = linked.unionByName(linking(apart(met.where("b is not null").select("a", "b"), linked)))
+    linked = linking(close_prints(keyed.select("fp", "print").distinct(), few))
+    met = checkpointed(candidates(first_shingles(docs, *common_shingles(docs))).distinct(), many)
+    linked = linked.unionByName(linking(apart(met.where("b is not null").select("a", "b"), linked, rows)))
     large = met.where("b is null").select("sh", F.col("a").alias("fp"), "size", "block", "low", "high").join(shorts, "fp")
     if large.isEmpty():
         return linked
-    large = checkpointed(large)
+    large = checkpointed(large, many)
     # First as many pairs as could connect what is apart; then all that are still apart, which are few by then.
     for forest in (True, False):
-        labelled = large.join(components(linked), F.col("fp") == F.col("node"), "left").select("sh", "fp", "size", "block", "low", "high", F.coalesce("root", "fp").alias("root"), "short")
+        labelled = large.join(components(linked, rows), F.col("fp") == F.col("node"), "left").select("sh", "fp", "size", "block", "low", "high", F.coalesce("root", "fp").alias("root"), "short")
         linked = linked.unionByName(linking(unconnected(labelled, forest)))
     return linked
 

@@ -16,8 +16,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, checkpointed, text_or_empty
-from .components import components, join_hot
+from .common import buffers, checkpointed, tasks_for, text_or_empty
+from .components import EDGES_A_TASK, components, join_hot
 from .windows import U, whole_groups
 
 SEGMENTS, DISTANCE, SHINGLE, SEED = 16, 3, 3, 42
@@ -170,12 +170,14 @@ def links(nodes: DataFrame) -> DataFrame:
 
 def rooted(fps: DataFrame, linked: DataFrame) -> tuple[DataFrame, int]:
     """Of each fingerprint of fps (doc, fp), (fp, root, least, n): its component over the edges ``linked`` and shared docs, the least doc in it, and how many rows have the fingerprint; and the number of all rows."""
-    nodes = checkpointed(fps.groupBy("fp").agg(F.min("doc").alias("doc"), F.count("*").alias("n")))
+    rows = fps.count()
+    tasks = tasks_for(fps.sparkSession, rows, EDGES_A_TASK)
+    nodes = checkpointed(fps.groupBy("fp").agg(F.min("doc").alias("doc"), F.count("*").alias("n")), tasks)
     several = fps.where("doc is not null").groupBy("doc").agg(F.min("fp").alias("b"), F.max("fp").alias("x"), F.count("*").alias("n")).where("b <> x").select("doc", "b", "n")
     total = nodes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     shared = join_hot(fps, several, "doc", "n", total[0]).select(F.col("fp").alias("a"), "b").where("a <> b")
-    found = components(linked.unionByName(shared))
-    of_fp = checkpointed(nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "doc", "n", F.coalesce("root", "fp").alias("root")))
+    found = components(linked.unionByName(shared), rows)
+    of_fp = checkpointed(nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "doc", "n", F.coalesce("root", "fp").alias("root")), tasks)
     least = of_fp.groupBy("root").agg(F.min("doc").alias("least"), F.count("*").alias("m"))
     return join_hot(of_fp, least, "root", "m", total[1]).select("fp", "root", "least", "n"), total[0]
 
@@ -215,7 +217,7 @@ def kept(docs: DataFrame, fps: DataFrame, of_fp: tuple[DataFrame, int], key: Cal
     columns = docs.columns
     free = lambda name: next(n for n in (name + "_" * i for i in range(len(columns) + 1)) if n not in columns)
     doc, n, fp, root, row = map(free, ("_doc", "_n", "_fp", "_root", "_row"))
-    first = checkpointed(join_hot(fps, rooted_, "fp", "n", total).where(F.col("doc") == F.col("least")).groupBy(F.col("doc").alias(doc)).agg(F.count("*").alias(n)))
+    first = checkpointed(join_hot(fps, rooted_, "fp", "n", total).where(F.col("doc") == F.col("least")).groupBy(F.col("doc").alias(doc)).agg(F.count("*").alias(n)), tasks_for(docs.sparkSession, total, EDGES_A_TASK))
     named = docs.withColumn(doc, F.col("doc_id").cast("long")).join(first.hint("shuffle_hash"), doc)
     out = named.where(F.col(n) == 1).select(*docs.columns)
     whole = F.struct(*(F.col(f"`{c}`") for c in columns))

@@ -4,6 +4,7 @@ import random
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 
 import corpus_pipeline
 from corvane.llm import near
@@ -118,3 +119,58 @@ def near_groups(pairs):
         hit = [g for g in groups if g & p]
         groups = [g for g in groups if not g & p] + [frozenset(p).union(*hit)]
     return set(groups)
+
+
+def long_rows():
+    rng = random.Random(5)
+    return [(i, " ".join(f"w{rng.randrange(400)}" for _ in range(60)) if i % 3 else "the same words in every third of all texts, again and again and again") for i in range(90)]
+
+
+def test_few_rows_go_into_few_files(spark, tmp_path):
+    """Each file of a checkpoint costs a task, and on a local disk a process of the executor."""
+    held = {k: spark.conf.get(k, None) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    before = spark.sparkContext.getCheckpointDir()
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "20")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        check(spark, long_rows())
+    finally:
+        for k, v in held.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+        if before:
+            spark.sparkContext.setCheckpointDir(before.rsplit("/", 1)[0])
+    most = {}
+    for f in tmp_path.rglob("part-*"):
+        most[f.parent] = most.get(f.parent, 0) + 1
+    assert most and max(most.values()) <= 2 * spark.sparkContext.defaultParallelism
+
+
+def test_a_batch_is_taken_up_in_parts(monkeypatch):
+    """The steps over texts give the same rows whatever the size of the parts, and hold the shingles of one part."""
+    steps = []
+
+    class Docs:
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):  # noqa: N802
+            steps.append(run)
+            return self
+
+        def __getattr__(self, name):
+            return lambda *a, **b: [] if name == "collect" else self
+
+    for of in (near.keys, near.common_shingles, lambda d: near.first_shingles(d, np.zeros(0, near.U), np.zeros(0, np.int64)), lambda d: near.keyed_texts(d, d)):
+        of(Docs())
+    text = pa.array([t for _, t in long_rows()])
+    wide = pa.RecordBatch.from_arrays([pa.array(range(len(text))), text], names=["doc_id", "text"])
+    held, whole = [], near.shingles
+    monkeypatch.setattr(near, "shingles", lambda data, at: (held.append(int(at[-1] - at[0])), whole(data, at))[1])
+    found = []
+    for size in (1 << 21, 1000):
+        held.clear()
+        monkeypatch.setattr(near, "TEXT", size)
+        found.append([pa.Table.from_batches(run(iter([wide if run is steps[0] else wide.select(["text"])]))).to_pylist() for run in steps])
+        assert max(held) <= size
+    assert found[0] == found[1] and all(found[0])
